@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import mixing, pii, token_rollup, warc
+from sieveworks.llm import decontam, minhash, mixing, pii, token_rollup, warc
 from sieveworks.llm.common import new_path, table
 
 
@@ -38,7 +38,17 @@ def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_rollup, op3_warc_assembly, op4_pii_anchors, op6_pfair_mix)}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it leaks."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: the smallest id of its group of near copies, and whether it is kept."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_rollup, op3_warc_assembly, op4_pii_anchors, op6_pfair_mix, op9_decontamination, op10_prob_minhash)}
 
 ORACLES: dict[str, str] = {}
 
