@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import decontam, minhash, mixing, pii, token_rollup, warc
+from sieveworks.llm import decontam, langid, minhash, mixing, pii, quality, token_rollup, warc
 from sieveworks.llm.common import new_path, table
 
 
@@ -33,11 +33,21 @@ def op4_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block, slot, release time, deadline and position of every document."""
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op8_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a benchmark item that it leaks."""
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -48,7 +58,7 @@ def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_rollup, op3_warc_assembly, op4_pii_anchors, op6_pfair_mix, op9_decontamination, op10_prob_minhash)}
+QUERIES = {f.__name__: f for f in (op2_token_rollup, op3_warc_assembly, op4_pii_anchors, op5_pu_quality, op6_pfair_mix, op8_byte_gru, op9_decontamination, op10_prob_minhash)}
 
 ORACLES: dict[str, str] = {}
 
