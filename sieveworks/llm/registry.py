@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import decontam, langid, minhash, mixing, pii, quality, token_rollup, warc
+from sieveworks.llm import capfilter, decontam, langid, minhash, mixing, pii, quality, token_rollup, warc
 from sieveworks.llm.common import new_path, table
 
 
+def op1_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilter.links(table(spark, sf_dir, "embeddings"))
+
+
 def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after one batch that inserts all documents, and a second try of the same batch, which changes nothing."""
     docs = table(spark, sf_dir, "documents")
@@ -58,10 +62,21 @@ def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_rollup, op3_warc_assembly, op4_pii_anchors, op5_pu_quality, op6_pfair_mix, op8_byte_gru, op9_decontamination, op10_prob_minhash)}
+QUERIES = {f.__name__: f for f in (op1_cap_filters, op2_token_rollup, op3_warc_assembly, op4_pii_anchors, op5_pu_quality, op6_pfair_mix, op8_byte_gru, op9_decontamination, op10_prob_minhash)}
 
 ORACLES: dict[str, str] = {}
 
+ORACLES["op1_cap_filters"] = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0),
+links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM good p, good q WHERE p.vec_id <> q.vec_id AND list_cosine_similarity(p.e, q.e) >= 0.95),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.a = v.vec_id)::BIGINT AS n_links,
+       least(v.vec_id, coalesce(m, v.vec_id)) AS component_id, v.vec_id = least(v.vec_id, coalesce(m, v.vec_id)) AS kept
+FROM v LEFT JOIN least ON least.a = v.vec_id
+"""
+
 ORACLES["op3_warc_assembly"] = """
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
