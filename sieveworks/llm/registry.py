@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import capfilter, decontam, langid, minhash, mixing, pii, quality, token_rollup, warc
+from sieveworks.llm import capfilter, decontam, langid, minhash, mixing, pii, quality, token_rollup, warc, wrapper
 from sieveworks.llm.common import new_path, table
 
 
@@ -47,6 +47,10 @@ def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op7_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs))
@@ -62,7 +66,7 @@ def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_cap_filters, op2_token_rollup, op3_warc_assembly, op4_pii_anchors, op5_pu_quality, op6_pfair_mix, op8_byte_gru, op9_decontamination, op10_prob_minhash)}
+QUERIES = {f.__name__: f for f in (op1_cap_filters, op2_token_rollup, op3_warc_assembly, op4_pii_anchors, op5_pu_quality, op6_pfair_mix, op7_wrapper_induction, op8_byte_gru, op9_decontamination, op10_prob_minhash)}
 
 ORACLES: dict[str, str] = {}
 
