@@ -72,7 +72,7 @@ ORACLES: dict[str, str] = {}
 
 ORACLES["op1_cap_filters"] = """
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-good AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0),
+good AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
 links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM good p, good q WHERE p.vec_id <> q.vec_id AND list_cosine_similarity(p.e, q.e) >= 0.95),
 reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 least AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
