@@ -1,6 +1,8 @@
-"""All reference queries with their SQL."""
+"""All queries of the engine with their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from sieveworks.plans import corpora, dedups, scans, states, web  # noqa: F401  they register their queries
+from sieveworks.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
