@@ -69,6 +69,10 @@ def _matches(content: Column, pattern: str) -> Column:
     return F.when(F.size(found) > 0, ends["out"])
 
 
+def _numbered(rule: int):
+    return lambda m: F.struct(F.lit(rule).alias("rule"), m["position"].alias("position"), m["text"].alias("text"))
+
+
 def _line_column(frame: DataFrame) -> DataFrame:
     head = F.substring(F.col("content"), F.lit(1), F.col("position") - 1)
     parts = F.split(head, "\n", -1)
@@ -98,7 +102,7 @@ def evaluate(files: DataFrame, rules: list[Rule], path: str = "path", basename:
             guarded.append((i, r))
         else:
             hit = _matches(F.col("content"), dialect(r.pattern, r.ignore_case))
-            native.append(F.when(applies(r), F.transform(hit, lambda m, i=i: F.struct(F.lit(i).alias("rule"), m["position"].alias("position"), m["text"].alias("text")))))
+            native.append(F.when(applies(r), F.transform(hit, _numbered(i))))
     kind = "array<struct<rule:int,position:int,text:string>>"
     out = None
     if native:
