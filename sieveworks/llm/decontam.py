@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from sieveworks.llm.kernels import text_ngrams, word_hashes
 
-N, STRIDE = 3, 4
+N, STRIDE = 3, 2
 SHARE, LONG = 0.6, 20
 #: Characters of benchmark text in one broadcast block.
 BLOCK_CHARS = 8_000_000
