@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 from sieveworks.llm.common import cut
 
 MIN_PAGES, CONSTANT = 8, 0.8
-#: Bytes of reference pages that may be broadcast; beyond it the join is left to the planner.
-BROADCAST_BYTES = 16_000_000
+#: Bytes of reference pages, and number of hosts, that may be broadcast; beyond them the joins are left to the planner.
+BROADCAST_BYTES, BROADCAST_HOSTS = 16_000_000, 500_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
@@ -44,6 +44,7 @@ CLOSES = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "d
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
+_PLAIN = re.compile(r"[^A-Za-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
@@ -114,7 +115,7 @@ def _marked(node: Node) -> bool:
         return False
     for m in _ATTR.finditer(node.attrs):
         key, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
-        if key in ("class", "id", "role") and not MARKS.isdisjoint(w.lower() for w in _SPLIT.split(value)):
+        if key in ("class", "id", "role") and not MARKS.isdisjoint(w.lower() for w in (*_SPLIT.split(value), *_PLAIN.split(value))):
             return True
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
@@ -325,7 +326,8 @@ def host(url: str = "url"):
 def _references(pages: DataFrame, id_col: str) -> DataFrame:
     """_host, _ref: the skeleton of the host's page with the smallest id among hosts of MIN_PAGES pages at least."""
     first = pages.where(F.col("_html").isNotNull()).groupBy("_host").agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("_n")).where(f"_n >= {MIN_PAGES}").select("_host", id_col)
-    chosen = pages.where(F.col("_html").isNotNull()).join(first, ["_host", id_col], "left_semi").select("_host", "_html")
+    first = cut(first, "first")
+    chosen = pages.where(F.col("_html").isNotNull()).join(F.broadcast(first) if first.count() <= BROADCAST_HOSTS else first, ["_host", id_col], "left_semi").select("_host", "_html")
     schema = T.StructType([T.StructField("_host", T.StringType()), T.StructField("_ref", T.StringType())])
 
     def run(batches):
