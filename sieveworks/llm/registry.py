@@ -93,3 +93,22 @@ FROM (
   FROM (SELECT page_id, html, sha1(coalesce(html, '')) AS h FROM pages)
 )
 """
+
+ORACLES["op6_pfair_mix"] = """
+WITH RECURSIVE per AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+q AS (SELECT row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, source, n, greatest(1, round(sqrt(n) / (SELECT sum(sqrt(n)) FROM per) * 1000))::BIGINT AS q FROM per),
+arr AS (SELECT list(q ORDER BY i) AS qs, list(n ORDER BY i) AS ns, sum(q)::BIGINT AS p FROM q),
+edf(t, done, pick) AS (
+  SELECT 0::BIGINT, list_transform(qs, lambda x: 0::BIGINT), NULL::BIGINT FROM arr
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda d, i: d + CASE WHEN i - 1 = m THEN 1 ELSE 0 END), m
+  FROM (SELECT t, done, list_min(list_transform(done, lambda d, i: CASE WHEN d < qs[i] AND (d * p) // qs[i] <= t THEN (((d + 1) * p + qs[i] - 1) // qs[i]) * len(qs) + i - 1 ELSE 9223372036854775807 END)) % len(qs) AS m
+        FROM edf, arr WHERE t < p)),
+slots AS (SELECT t - 1 AS slot, pick, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j, list_transform(done, lambda d, i: d - CASE WHEN i - 1 = pick THEN 1 ELSE 0 END) AS mine FROM edf WHERE t > 0),
+ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS r FROM documents),
+placed AS (SELECT d.doc_id, d.source, r // 16 AS k, r % 16 AS rest, (r // 16) // q.q AS turn, q.q, s.slot, s.j, s.mine
+  FROM ranked d JOIN q ON d.source IS NOT DISTINCT FROM q.source JOIN slots s ON s.pick = q.i AND s.j = (r // 16) % q.q)
+SELECT doc_id, source, k::BIGINT AS mix_block, (turn * p + slot)::BIGINT AS mix_slot, (turn * p + (j * p) // q)::BIGINT AS mix_release, (turn * p + ((j + 1) * p + q - 1) // q)::BIGINT AS mix_deadline,
+       (list_sum(list_transform(ns, lambda n, i: least(n, 16 * (turn * qs[i] + mine[i])))) + rest)::BIGINT AS mix_position
+FROM placed, arr
+"""

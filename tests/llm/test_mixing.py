@@ -1,8 +1,6 @@
 import collections
 import hashlib
 
-import duckdb
-import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -69,10 +67,3 @@ def test_no_python_on_the_way(spark):
     plan = mixing.mix(spark.range(5).selectExpr("id doc_id", "'a' source"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
-
-def test_sql(spark):
-    from sieveworks.llm import registry
-
-    if "op6_pfair_mix" not in registry.ORACLES:
-        pytest.skip("no SQL")
-    duckdb.sql("select 1")
