@@ -146,6 +146,7 @@ def assemble(found: DataFrame) -> DataFrame:
 def resolved(capture: DataFrame) -> DataFrame:
     """captures with refers (the metadata fields of the response that a revisit refers to), payload_bytes and payload_digest of the full payload."""
     targets = capture.where("main.type <> 'revisit'").select(F.col("capture_id").alias("target"), F.col("metadata.fields").alias("r_fields"), F.col("main.payload_bytes").alias("r_bytes"), F.col("main.payload_digest").alias("r_digest"))
-    joined = capture.withColumn("target", F.col("main.refers_to")).join(targets, "target", "left")
+    # a capture that revisits nothing looks at itself, so that those do not all meet at a null
+    joined = capture.withColumn("target", F.coalesce("main.refers_to", "capture_id")).join(targets, "target", "left")
     revisit = F.col("main.type") == "revisit"
     return joined.select(*capture.columns, "r_fields", F.when(revisit, F.col("r_bytes")).otherwise(F.col("main.payload_bytes")).alias("payload_bytes"), F.when(revisit, F.col("r_digest")).otherwise(F.col("main.payload_digest")).alias("payload_digest"))
