@@ -31,7 +31,7 @@ from sieveworks.llm import graph
 from sieveworks.llm.common import cut
 
 COSINE = 0.95
-LOAD, LEAST = 16, 8
+LOAD, LEAST = 48, 24
 #: Nodes in a filter from which on balls are formed, and how often.
 HOT, ROUNDS = 32, 4
 MARGIN = 1e-7
@@ -137,8 +137,8 @@ def links(data: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", c
     key = F.sha2("raw", 256)
     classes = cut(valid.groupBy(key.alias("key")).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("m"), F.first("unit").alias("unit")).withColumn("node", F.expr("cast(conv(substring(key, 1, 15), 16, 10) as bigint)")), "classes")
     n = classes.count()
-    # filters = words squared, about four for each node
-    words = 1 << max(6, math.ceil(math.log2(math.sqrt(4 * max(1, n)))))
+    # filters = words squared, 64 for each node at least
+    words = 1 << max(6, math.ceil(math.log2(math.sqrt(64 * max(1, n)))))
     units = classes.select("node", "unit")
     rows = cut(_filters(units, words).distinct(), "filters")
 
