@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sieveworks.functions.text import bigrams, jaccard, to_lines
+from sieveworks.functions.text import to_lines
 from sieveworks.operators import findings as N
 from sieveworks.operators import score as P
 from sieveworks.plans.base import query, table
@@ -139,12 +139,11 @@ def score_weighted(spark, sf):
     return out.select("file", "day", *(F.col(c).cast("long").alias(c) for c in ("bug", "code_smell", "engineering_maturity", "total")))
 
 
-@query(f"""SELECT file, e, w, i, score, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 70 THEN 'good' WHEN score >= 50 THEN 'needs work' WHEN score >= 30 THEN 'serious' ELSE 'critical' END AS level FROM (
-SELECT file, e, w, i, round_even(greatest(0.0, 100 - (e * 5.0 + w * 2.0 + i * 0.5)), 0)::BIGINT AS score FROM (SELECT file, count(*) FILTER (rule_id = 'error') AS e, count(*) FILTER (rule_id = 'purchase') AS w, count(*) FILTER (rule_id = 'signup') AS i FROM {_F} WHERE ord % 4 = 0 GROUP BY file))""")
+@query(f"""SELECT file, day, e, w, i, score, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 70 THEN 'good' WHEN score >= 50 THEN 'needs work' WHEN score >= 30 THEN 'serious' ELSE 'critical' END AS level FROM (
+SELECT file, day, e, w, i, round_even(greatest(0.0, 100 - (e * 5.0 + w * 2.0 + i * 0.5)), 0)::BIGINT AS score FROM (SELECT file, day::VARCHAR AS day, count(*) FILTER (rule_id = 'error') AS e, count(*) FILTER (rule_id = 'purchase') AS w, count(*) FILTER (rule_id = 'signup') AS i FROM {_F} GROUP BY file, day))""")
 def score_deduction(spark, sf):
-    """Points off by level for a quarter of the findings, which is the query's own filter for a spread of scores."""
     n = lambda k: F.count(F.when(F.col("rule_id") == k, 1))
-    g = findings_of(spark, sf).where("ord % 4 = 0").groupBy("file").agg(n("error").alias("e"), n("purchase").alias("w"), n("signup").alias("i"))
+    g = findings_of(spark, sf).withColumn("day", F.col("day").cast("string")).groupBy("file", "day").agg(n("error").alias("e"), n("purchase").alias("w"), n("signup").alias("i"))
     g = g.withColumn("score", P.deduction({"error": F.col("e"), "warning": F.col("w"), "info": F.col("i")}, P.PLAIN).cast("long"))
     return g.withColumn("level", P.band(F.col("score"), *P.LEVELS))
 
@@ -194,9 +193,7 @@ def findings_per_file_cap(spark, sf):
     return findings_of(spark, sf).withColumn("r", F.row_number().over(w)).where("r <= 3").select("file", F.col("ord").alias("event_id"))
 
 
-@query("SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity FROM (SELECT item_id, list_distinct(list_transform(range(1, length(text)), lambda i: substr(text, i, 2))) AS g FROM benchmark) a JOIN (SELECT item_id, list_distinct(list_transform(range(1, length(text)), lambda i: substr(text, i, 2))) AS g FROM benchmark) b ON a.item_id < b.item_id WHERE len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))) >= 0.6")
+@query("SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity FROM (SELECT item_id, list_distinct(list_transform(range(1, length(text)), lambda i: substr(text, i, 2))) AS g FROM benchmark) a JOIN (SELECT item_id, list_distinct(list_transform(range(1, length(text)), lambda i: substr(text, i, 2))) AS g FROM benchmark) b ON a.item_id < b.item_id WHERE len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))) >= 0.4 - 1e-9")
 def benchmark_similarity(spark, sf):
-    """A stated set, the benchmark, against itself."""
-    g = table(spark, sf, "benchmark").select("item_id", bigrams(F.col("text")).alias("g"))
-    a, b = g.select(F.col("item_id").alias("a"), F.col("g").alias("ga")), g.select(F.col("item_id").alias("b"), F.col("g").alias("gb"))
-    return a.join(F.broadcast(b), F.col("a") < F.col("b")).withColumn("similarity", F.round(jaccard(F.col("ga"), F.col("gb")), 6)).where("similarity >= 0.6").select("a", "b", "similarity")
+    """Benchmark items that are alike by pairs of characters."""
+    return N.similar_pairs(table(spark, sf, "benchmark"), [], "item_id", "text", 0.4).select("a", "b", F.round("similarity", 6).alias("similarity"))

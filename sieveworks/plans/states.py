@@ -11,13 +11,21 @@ from sieveworks.plans.base import query, table
 from sieveworks.streaming import state as Z
 
 
+_FROM, _TO = "1996-01-01", "2000-07-01"
+
+
 def _sides(spark, sf):
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_totalprice").alias("size"), F.col("o_orderstatus").alias("hash"), F.to_date("o_orderdate").alias("mtime"))
-    old = o.where("path % 7 <> 0").withColumn("size", F.when(F.col("path") % 5 == 0, F.col("size") + 1).otherwise(F.col("size"))).withColumn("mtime", F.when(F.col("path") % 4 == 0, F.date_add("mtime", -1)).otherwise(F.col("mtime"))).withColumn("hash", F.when(F.col("path") % 8 == 0, F.lit("?")).otherwise(F.col("hash")))
-    return o.where("path % 11 <> 0"), old
+    """The orders since _FROM as the files of now, those up to _TO as the files of the last run; in between, urgent ones had
+    another size, low ones another hash, and those still open another time."""
+    o = table(spark, sf, "orders")
+    o = o.select(F.col("o_orderkey").alias("path"), F.col("o_totalprice").alias("size"), F.col("o_orderstatus").alias("hash"), F.col("o_orderpriority").alias("p"), F.to_date("o_orderdate").alias("mtime"))
+    old = o.where(F.col("mtime") < F.lit(_TO).cast("date"))
+    old = old.withColumn("size", F.when(F.col("p") == "1-URGENT", F.col("size") + 1).otherwise(F.col("size"))).withColumn("mtime", F.when(F.col("hash") == "O", F.date_add("mtime", -1)).otherwise(F.col("mtime"))).withColumn("hash", F.when(F.col("p") == "5-LOW", F.lit("?")).otherwise(F.col("hash")))
+    return o.where(F.col("mtime") >= F.lit(_FROM).cast("date")).drop("p"), old.drop("p")
 
 
-_DIFF = """(SELECT o_orderkey AS path, CASE WHEN o_orderkey % 7 = 0 THEN 'added' WHEN o_orderkey % 11 = 0 THEN 'deleted' WHEN o_orderkey % 5 = 0 OR o_orderkey % 8 = 0 THEN 'changed' ELSE 'unchanged' END AS status FROM orders WHERE o_orderkey % 77 <> 0)"""
+_STATUS = f"CASE WHEN o_orderdate >= DATE '{_TO}' THEN 'added' WHEN o_orderdate < DATE '{_FROM}' THEN 'deleted' ELSE"
+_DIFF = f"(SELECT o_orderkey AS path, {_STATUS} CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN 'changed' ELSE 'unchanged' END END AS status FROM orders)"
 
 
 @query(f"SELECT * FROM {_DIFF}")
@@ -25,7 +33,7 @@ def incremental_diff(spark, sf):
     return I.diff(*_sides(spark, sf), "path", ["size", "hash"])
 
 
-@query("SELECT o_orderkey AS path, CASE WHEN o_orderkey % 7 = 0 THEN 'added' WHEN o_orderkey % 11 = 0 THEN 'deleted' WHEN o_orderkey % 4 <> 0 THEN 'unchanged' WHEN o_orderkey % 8 = 0 THEN 'changed' ELSE 'touched' END AS status FROM orders WHERE o_orderkey % 77 <> 0")
+@query(f"SELECT o_orderkey AS path, {_STATUS} CASE WHEN o_orderstatus <> 'O' THEN 'unchanged' WHEN o_orderpriority = '5-LOW' THEN 'changed' ELSE 'touched' END END AS status FROM orders")
 def incremental_two_step(spark, sf):
     return I.diff_two_step(*_sides(spark, sf), "path")
 
@@ -56,10 +64,10 @@ def ttl_expire(spark, sf):
     return I.expired(e.crossJoin(F.broadcast(now)), "ts", F.col("now"), 7).select("event_id", "expired")
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND event_id % 3 = 0)")
+@query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 60)")
 def checkpoint_remaining(spark, sf):
     e = table(spark, sf, "events")
-    return I.remaining(e, e.where("event_type = 'purchase' and event_id % 3 = 0"), "user_id")
+    return I.remaining(e, e.where("event_type = 'purchase' and value > 60"), "user_id")
 
 
 @query("SELECT user_id, count(*) AS runs, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'purchase') AS done, round(sum(value), 4) AS cost FROM events GROUP BY user_id")
@@ -141,9 +149,9 @@ _SEEN = "(SELECT event_type || '/' || (user_id % 10)::VARCHAR AS pattern_id, ts,
 @query(f"SELECT pattern_id, count(*) AS occurrence_count, min(ts)::VARCHAR AS first_seen, max(ts)::VARCHAR AS last_seen, array_to_string(list_sort(list(DISTINCT user_id)), ',') AS projects FROM {_SEEN} GROUP BY pattern_id")
 def kb_upsert(spark, sf):
     """Two batches of sightings, the second added to what the first left."""
-    e = table(spark, sf, "events").select(F.concat_ws("/", "event_type", (F.col("user_id") % 10).cast("string")).alias("pattern_id"), F.col("ts").alias("seen_at"), F.col("user_id").alias("project"), F.col("event_id").cast("string").alias("example"), "event_id")
-    first = H.upsert_patterns(None, e.where("event_id % 3 = 0").drop("event_id"))
-    out = H.upsert_patterns(first, e.where("event_id % 3 <> 0").drop("event_id"))
+    e = table(spark, sf, "events").select(F.concat_ws("/", "event_type", (F.col("user_id") % 10).cast("string")).alias("pattern_id"), F.col("ts").alias("seen_at"), F.col("user_id").alias("project"), F.col("event_id").cast("string").alias("example"), "value")
+    first = H.upsert_patterns(None, e.where("value < 20").drop("value"))
+    out = H.upsert_patterns(first, e.where("value >= 20").drop("value"))
     return out.select("pattern_id", "occurrence_count", F.col("first_seen").cast("string").alias("first_seen"), F.col("last_seen").cast("string").alias("last_seen"), F.array_join("projects", ",").alias("projects"))
 
 
