@@ -25,8 +25,9 @@ class KeyedState:
         names = (x.getPath().getName() for x in self._fs.listStatus(at))
         return sorted(int(n[1:]) for n in names if n.startswith("v") and self._fs.exists(self._path(f"{self.root}/{n}/_SUCCESS")))
 
-    def read(self) -> DataFrame | None:
-        got = self.versions()
+    def read(self, before: int | None = None) -> DataFrame | None:
+        """The highest version, of those under before if it is given: a repeated batch starts from what it started from at first."""
+        got = [v for v in self.versions() if before is None or v < before]
         return self.spark.read.parquet(f"{self.root}/v{got[-1]}") if got else None
 
     def write(self, rows: DataFrame, version: int) -> None:
@@ -39,7 +40,7 @@ def scan_batch(files: DataFrame, rules: list[Rule], state: KeyedState, cache: Ke
     Unchanged files keep their cached findings; another rule version invalidates them all. The batch's version makes a
     repeated batch write the same state again."""
     current = files.select("path", "basename", "content", F.md5("content").alias("hash"))
-    old = state.read()
+    old = state.read(version)
     if old is None:
         changed, kept_state = current, None
     else:
@@ -47,7 +48,7 @@ def scan_batch(files: DataFrame, rules: list[Rule], state: KeyedState, cache: Ke
         changed = current.join(same, ["path", "hash"], "left_anti")
         kept_state = old.join(current.select("path"), "path", "left_anti")
     fresh = evaluate(changed, rules).withColumn("rule_version", F.lit(rule_version))
-    cached = cache.read()
+    cached = cache.read(version)
     if cached is not None:
         stale = changed.select("path")
         fresh = fresh.unionByName(cached.where(F.col("rule_version") == rule_version).join(stale, "path", "left_anti"))
