@@ -102,10 +102,10 @@ class TokenRollup:
         staging = f"{self.root}/batches/_{uuid.uuid4().hex}"
         if "seq" not in changes.columns:
             changes = changes.withColumn("seq", F.lit(0).cast("long"))
-        new = counted(changes, self.tokenizer, self.vocabulary)
+        new = lambda rows: counted(changes.where(rows), self.tokenizer, self.vocabulary)  # noqa: E731  filtered before, so that each text is counted once
         value = F.struct("seq", "n_tokens", "n_chars", "op", "source", "lang")
-        named = new.where("doc_id is not null").groupBy("doc_id", "tokenizer").agg(F.max(value).alias("v"))
-        plain = new.where("doc_id is null and op != 'delete'").select("doc_id", "tokenizer", value.alias("v"))
+        named = new("doc_id is not null").groupBy("doc_id", "tokenizer").agg(F.max(value).alias("v"))
+        plain = new("doc_id is null and op != 'delete'").select("doc_id", "tokenizer", value.alias("v"))
         rows = named.unionByName(plain).select("doc_id", "tokenizer", "v.source", "v.lang", (F.col("v.op") != "delete").alias("live"), "v.n_tokens", "v.n_chars", F.lit(number).alias("batch_no"))
         rows.write.parquet(f"{staging}/ledger")
         added = self.spark.read.parquet(f"{staging}/ledger")
