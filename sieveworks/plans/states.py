@@ -46,7 +46,7 @@ def cache_merge(spark, sf):
     return I.merge_cached(fresh, rows.withColumn("origin", F.lit("cached")), status, "path")
 
 
-@query("SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) <= 900 AS kept FROM events")
+@query("SELECT event_id, (SELECT count(*) FROM events) <= 1000 OR row_number() OVER (ORDER BY ts DESC, event_id) <= 900 AS kept FROM events")
 def lru_evict(spark, sf):
     return I.evict(table(spark, sf, "events").select("event_id", "ts"), "ts", "event_id", 1000).select("event_id", "kept")
 
