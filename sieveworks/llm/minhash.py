@@ -8,7 +8,8 @@ texts that share a band are candidates, and every link is verified on the whole
 
 Equal texts (the same words in a row) are one node from the start. In a band group, one node, the pivot, is compared
 with all others; what remains between different components is compared pair by pair once it is in proportion to the
-nodes, and by further pivots before. So a group of near copies costs its size, not its square, and no link that joins
+nodes, less what the pivot's similarities rule out by the triangle inequality or the signatures
+by far too few common places, and by further pivots before. So a group of near copies costs its size, not its square, and no link that joins
 two components is left out.
 
 Defined results: words are compared in lower case; a text of one to four words is one shingle; texts without a word, and
@@ -31,10 +32,14 @@ from sieveworks.llm.common import cut
 from sieveworks.llm.kernels import mix, text_ngrams, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 25, 5
-K = 128
-#: Texts whose shingles are handled at once; their number takes 16 bits of the sort key.
-_STEP_TEXTS, _STEP_WORDS = 4096, 2_000_000
+BANDS, ROWS = 36, 7
+K = 256
+#: Standard deviations under the expected agreement of signatures at the wanted similarity from which a pair is not compared.
+DEVIATIONS = 4.0
+#: Ids that may be broadcast to fetch texts; beyond it the join is left to the planner.
+BROADCAST_IDS = 4_000_000
+#: Bytes of shingle sets that may be broadcast to compare pairs; beyond it they are joined by shuffling.
+BROADCAST_SETS = 10_000_000
 
 
 def weighted_shingles(texts: pa.Array, words: int = WORDS):
@@ -81,36 +86,49 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
 
 
 def _sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node id, class (16 bytes; null without words), band keys."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("cls", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """node id, class (16 bytes; null without words), band keys, and the low bytes of the signature."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("cls", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.ArrayType(T.ByteType()))])
 
     def run(batches):
         for b in batches:
             texts = b.column(1)
             ids, weights, owner, hashes, bounds = weighted_shingles(texts)
-            keys = band_keys(signatures(ids, weights, owner, len(texts)))
+            signature = signatures(ids, weights, owner, len(texts))
+            keys = band_keys(signature)
             filled = np.diff(bounds) > 0
             cls = [hashlib.blake2b(hashes[bounds[i] : bounds[i + 1]].tobytes(), digest_size=16).digest() if filled[i] else None for i in range(len(texts))]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(filled * BANDS)]), pa.int32()), pa.array(keys[filled].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.binary()), lists], names=schema.names)
+            lists = lambda v: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(filled * v.shape[1])]), pa.int32()), pa.array(v[filled].reshape(-1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.binary()), lists(keys), lists(signature.astype(np.uint8).view(np.int8))], names=schema.names)
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).where(F.col(id_col).isNotNull()).mapInArrow(run, schema)
 
 
 def _shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node id, shingles (sorted 8-byte ids), weights (4-byte counts' weights)."""
+    """node id, shingles (sorted 4-byte ids), weights (4 bytes each, none if all are 1).
+
+    Four bytes make one false common shingle in about 10,000 pairs of 600 shingles each."""
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType()), T.StructField("w", T.BinaryType())])
 
     def run(batches):
         for b in batches:
             ids, weights, owner, _, _ = weighted_shingles(b.column(1))
             at = np.searchsorted(owner, np.arange(b.num_rows + 1))
-            part = [(ids[at[i] : at[i + 1]].tobytes(), weights[at[i] : at[i + 1]].astype(np.float32).tobytes()) for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p[0] for p in part], pa.binary()), pa.array([p[1] for p in part], pa.binary())], names=schema.names)
+            sets, rest = [], []
+            for i in range(b.num_rows):
+                short, first = np.unique((ids[at[i] : at[i + 1]] >> np.uint64(16)).astype(np.uint32), return_index=True)
+                own = weights[at[i] : at[i + 1]][first].astype(np.float32)
+                sets.append(short.tobytes())
+                rest.append(b"" if (own == 1).all() else own.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary()), pa.array(rest, pa.binary())], names=schema.names)
 
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
+def _unpacked(ids: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
+    out = np.frombuffer(ids, np.uint32)
+    return out, np.frombuffer(w, np.float32) if w else np.ones(len(out), np.float32)
+
+
 def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
     """Sum over common elements of 1 / sum over all elements of max(wa_j / wa_i, wb_j / wb_i); a and b sorted."""
     both, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
@@ -129,71 +147,76 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
     return float((cb / total).sum())
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose probability Jaccard is at least similarity."""
-    schema = T.StructType([pairs.schema["a"], pairs.schema["b"]])
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with their probability Jaccard as sim."""
+    schema = T.StructType([pairs.schema["a"], pairs.schema["b"], T.StructField("sim", T.DoubleType())])
 
     def run(batches):
         for x in batches:
-            a, b, ai, aw, bi, bw = (x.column(i).to_pylist() for i in range(6))
-            good = []
-            for i in range(x.num_rows):
-                sa, sb = np.frombuffer(ai[i], np.uint64), np.frombuffer(bi[i], np.uint64)
-                if min(len(sa), len(sb)) and probability_jaccard(sa, np.frombuffer(aw[i], np.float32), sb, np.frombuffer(bw[i], np.float32)) >= similarity - 1e-9:
-                    good.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in good], x.column(0).type), pa.array([b[i] for i in good], x.column(1).type)], names=["a", "b"])
-
-    left = sets.select(F.col("id").alias("a"), F.col("ids").alias("ai"), F.col("w").alias("aw"))
-    right = sets.select(F.col("id").alias("b"), F.col("ids").alias("bi"), F.col("w").alias("bw"))
+            ai, aw, bi, bw = (x.column(i).to_pylist() for i in range(2, 6))
+            sims = [probability_jaccard(*_unpacked(p, q), *_unpacked(r, s)) if p and r else 0.0 for p, q, r, s in zip(ai, aw, bi, bw, strict=True)]
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(sims, pa.float64())], names=schema.names)
+
+    size = sets.agg(F.coalesce(F.sum(F.length("ids") + F.length("w") + 16), F.lit(0))).first()[0]
+    small = F.broadcast if size <= BROADCAST_SETS else (lambda d: d)
+    left = small(sets.select(F.col("id").alias("a"), F.col("ids").alias("ai"), F.col("w").alias("aw")))
+    right = small(sets.select(F.col("id").alias("b"), F.col("ids").alias("bi"), F.col("w").alias("bw")))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ai", "aw", "bi", "bw").mapInArrow(run, schema)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, pairs_per_node: int = 2) -> DataFrame:
+def _with_pivot(rows: DataFrame) -> DataFrame:
+    """rows (key, n) of keys that several nodes share, with the key's pivot: the node whose keys hold the most nodes, as the original of many copies does."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    shared = rows.join(sizes, "key")
+    weight = shared.groupBy("n").agg(F.sum("k").alias("w"))
+    pivots = shared.join(weight, "n").groupBy("key").agg(F.min(F.struct((-F.col("w")).alias("w"), "n")).alias("p")).select("key", F.col("p.n").alias("pivot"))
+    return rows.join(pivots, "key")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, pairs_per_node: int = 100) -> DataFrame:
     """One row per distinct id: id, component_id (the smallest id of its group), kept (id = component_id)."""
     sketch = cut(_sketch(docs, id_col, text_col), "sketch")
     # rows that share an id are tied together like equal texts
     classes = sketch.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"))
     own = sketch.where("cls is not null").join(classes, "cls").select("id", "rep").distinct()
-    reps = classes.select("rep").distinct()
-    nodes = sketch.join(reps, sketch["id"] == reps["rep"], "left_semi").select("id", "bands")
-    rows = cut(nodes.select(F.col("id").alias("n"), F.explode("bands").alias("key")).distinct(), "bands")
-    pivots = rows.groupBy("key").agg(F.min("n").alias("pivot"), F.max("n").alias("last")).where("last > pivot").select("key", "pivot")
-    rows = cut(rows.join(pivots, "key"), "bands")  # only keys that several nodes share
-    total = reps.count()
+    nodes = sketch.join(classes.select("rep").distinct(), sketch["id"] == F.col("rep"), "left_semi").select(F.col("id").alias("n"), "bands", "sig")
+    rows = cut(_with_pivot(nodes.select("n", F.explode("bands").alias("key")).distinct()), "bands")
+    total = classes.count()
     pairs = rows.where("n <> pivot").select(F.col("pivot").alias("a"), F.col("n").alias("b")).distinct()
-    links = tested = None
+    tested = None
     while True:
         pairs = cut(pairs, "pairs")
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        wanted = docs.select(F.col(id_col), F.col(text_col)).join(ids.withColumnRenamed("id", id_col), id_col, "left_semi")
-        sets = _shingle_sets(wanted, id_col, text_col)
-        good = cut(_verified(pairs, sets, similarity), "links")
-        links = good if links is None else links.unionByName(good)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = cut(graph.components(links, "a", "b"), "components")
-        if pairs.isEmpty():
+        ids = cut(ids.withColumnRenamed("id", id_col), "ids")
+        wanted = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, "left_semi")
+        now = cut(_compared(pairs, cut(_shingle_sets(wanted, id_col, text_col), "sets")), "compared")
+        tested = now if tested is None else tested.unionByName(now)
+        found = cut(graph.components(tested.where(F.col("sim") >= similarity - 1e-9), "a", "b"), "components")
+        if rows is None:
             break
-        # what is still undecided: rows other than past pivots, in keys whose rows are of several components
-        rows = rows.where("n <> pivot").select("key", "n")
-        labelled = rows.join(found.withColumnRenamed("node", "n"), "n", "left").select("key", "n", F.coalesce("component", "n").alias("c"))
-        sizes = labelled.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("m")).groupBy("key").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("ss"), F.min("m").alias("pivot"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        rows = cut(labelled.join(sizes, "key"), "bands")
+        # what is still undecided: rows other than pivots, in keys whose rows are of several components
+        known = now.select(F.col("a").alias("pivot"), F.col("b").alias("n"), "sim")
+        rest = rows.where("n <> pivot").join(known, ["pivot", "n"], "left").join(found.withColumnRenamed("node", "n"), "n", "left").select("key", "n", "pivot", "sim", F.coalesce("component", "n").alias("c"))
+        sizes = rest.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("ss"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        rest = cut(rest.join(sizes.select("key"), "key"), "rest")
         cross = sizes.agg(F.sum((F.col("s") * F.col("s") - F.col("ss")) / 2)).first()[0] or 0
         if cross == 0:
             break
-        one, two = rows.select("key", F.col("n").alias("a"), F.col("c").alias("ca")), rows.select("key", F.col("n").alias("b"), F.col("c").alias("cb"))
-        last = cross <= pairs_per_node * total
-        if last:
-            new = one.join(two, "key").where("a < b and ca <> cb")
-            rows = rows.where("false")
-        else:
-            new = two.join(rows.where("n = pivot").select("key", F.col("n").alias("a"), F.col("c").alias("ca")), "key").where("ca <> cb")
-        rows = rows.select("key", "n", "pivot")
-        pairs = new.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        if cross <= pairs_per_node * total:
+            # one minus the similarity is a metric: two nodes whose similarities to the pivot differ by more than 1 - similarity are not linked;
+            # each pair comes from the least of its common keys; signatures of a link agree in fewer places than that once in 30,000
+            agree = int(K * similarity - DEVIATIONS * (K * similarity * (1 - similarity)) ** 0.5)
+            full = rest.join(nodes, "n")
+            side = lambda x: full.select("key", F.col("n").alias(x), F.col("c").alias(f"c{x}"), F.col("sim").alias(f"s{x}"), F.col("bands").alias(f"k{x}"), F.col("sig").alias(f"g{x}"))
+            on = f"l.key = r.key and a < b and ca <> cb and abs(coalesce(sa, 0) - coalesce(sb, 0)) <= {1 - similarity + 1e-6} and l.key = array_min(array_intersect(ka, kb)) and size(filter(sequence(0, {K - 1}), i -> ga[i] = gb[i])) >= {agree}"
+            pairs = side("a").alias("l").join(side("b").alias("r"), F.expr(on)).select("a", "b").distinct()
+            rows = None
+        else:  # another pivot for each key
+            rows = cut(_with_pivot(rest.select("key", "n")), "bands")
+            pairs = rows.where("n <> pivot").select(F.col("pivot").alias("a"), F.col("n").alias("b")).distinct()
     spread = found.select(F.col("node").alias("rep"), "component")
     joined = own.join(spread, "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    ids = sketch.select("id").distinct()
-    out = ids.join(joined, "id", "left").select("id", F.coalesce("component_id", "id").alias("component_id"))
+    out = sketch.select("id").distinct().join(joined, "id", "left").select("id", F.coalesce("component_id", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
