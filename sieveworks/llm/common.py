@@ -36,10 +36,13 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """df, written to the shared folder as Parquet and read back: its lineage ends there and survives lost executors."""
+    """df, written to the shared folder as Parquet and read back: its lineage ends there and survives lost executors.
+    The files go when the application ends."""
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
