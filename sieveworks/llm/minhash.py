@@ -226,6 +226,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(id_col)
     repeated = cut(repeated, "repeated")
     gone = found.where("not kept").select(id_col)
-    single = docs.join(gone.unionByName(repeated).distinct(), id_col, "left_anti")
+    gone_or_several = gone.unionByName(repeated).distinct()
+    if gone_or_several.count() <= BROADCAST_IDS:  # else the planner's own join
+        gone_or_several = F.broadcast(gone_or_several)
+    single = docs.join(gone_or_several, id_col, "left_anti")
     several = docs.join(repeated.join(gone, id_col, "left_anti"), id_col, "left_semi").dropDuplicates([id_col])
     return single.unionByName(several).select(*docs.columns)
