@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, rarest first, then Smith-Waterman alignment.
 
-A first pass counts in how many texts each n-gram of the benchmark occurs. In every stretch of STRIDE n-grams of an item
-the rarest one becomes a seed, so that each copy that keeps N + STRIDE - 1 words in a row somewhere is found, however
-frequent its words are. A second pass joins texts to items at the seeds, and aligns the words around each seed with the
-whole item. A pair is a leak if its local alignment (match 2, mismatch and gap -1) reaches SHARE of the item's perfect
-score, or the score of LONG copied words in a longer item.
+A first pass counts in how many texts each n-gram of the benchmark occurs. Every n-gram that occurs in any is a seed, so
+that each leak whose alignment keeps N words in a row somewhere is found with its full score; one that keeps fewer
+everywhere (such as a copy with a word inserted after every second) is not. A second pass joins texts to items at the
+seeds, and aligns the words around the seeds, as far as a leak can reach, with the whole item; the places of a pair
+with the rarest seeds come first and rule out others. A pair is a leak if its local alignment (match 2, mismatch and gap
+-1) reaches SHARE of the item's perfect score, or the score of LONG copied words in a longer item.
 
 The benchmark is handled in blocks of bounded size, each one broadcast; the texts are never shuffled. Decisions are
 taken row by row.
@@ -24,11 +25,10 @@ from pyspark.sql import types as T
 
 from sieveworks.llm.kernels import text_ngrams, word_hashes
 
-N, STRIDE = 3, 2
+N, STRIDE = 3, 1
 SHARE, LONG = 0.6, 20
 #: Characters of benchmark text in one broadcast block.
 BLOCK_CHARS = 8_000_000
-_SLACK = 8
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -120,17 +120,14 @@ def _seeds(docs: DataFrame, text_col: str, block) -> dict:
     items, grams, own, pos = _item_grams(block)
     known = np.unique(grams)
     if not len(known):
-        return {"items": items, "seeds": known, "places": []}
+        return {"items": items, "seeds": known, "places": [], "rarity": []}
     rarity = _frequency(docs, text_col, known)[np.searchsorted(known, grams)]
     chosen: dict[int, list] = {}
-    for i in range(len(items)):
-        mine = np.flatnonzero(own == i)
-        for k in range(0, len(mine), STRIDE):
-            part = mine[k : k + STRIDE]
-            best = part[np.argmin(rarity[part])]
-            chosen.setdefault(int(grams[best]), []).append((i, int(pos[best])))
+    for k in np.flatnonzero(rarity):  # what no text has cannot be met
+        chosen.setdefault(int(grams[k]), []).append((int(own[k]), int(pos[k])))
+    counts = dict(zip(grams.tolist(), rarity.tolist(), strict=True))
     seeds = np.array(sorted(chosen), np.uint64)
-    return {"items": items, "seeds": seeds, "places": [chosen[int(s)] for s in seeds]}
+    return {"items": items, "seeds": seeds, "places": [chosen[int(s)] for s in seeds], "rarity": [counts[int(s)] for s in seeds]}
 
 
 def _found(texts: pa.Array, plan: dict) -> list[tuple[int, int, int, int, int]]:
@@ -138,28 +135,29 @@ def _found(texts: pa.Array, plan: dict) -> list[tuple[int, int, int, int, int]]:
     hashes, bounds = word_hashes(texts)
     grams, own, pos = text_ngrams(hashes, bounds, N)
     at = _lookup(plan["seeds"], grams)
-    spots: dict[tuple[int, int], list[int]] = {}
+    spots: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for k in np.flatnonzero(at >= 0):
         for item, where in plan["places"][at[k]]:
-            spots.setdefault((int(own[k]), item), []).append(int(pos[k]) - where)
+            spots.setdefault((int(own[k]), item), []).append((int(pos[k]) - where, plan["rarity"][at[k]]))
     out = []
     for (d, i), shifts in spots.items():
         words, item = hashes[bounds[d] : bounds[d + 1]], plan["items"][i]
         least, best = threshold(len(item)), (0, 0, 0)
+        slack = int(2 * len(item) - least)  # the most words that a leak can have inserted
         shifts.sort()
-        k = 0
-        while k < len(shifts):
-            lo, hi = shifts[k] - _SLACK, shifts[k] + len(item) + _SLACK
-            while k + 1 < len(shifts) and shifts[k + 1] - _SLACK <= hi:
-                k += 1
-                hi = shifts[k] + len(item) + _SLACK
-            k += 1
-            lo = max(0, lo)
+        parts: list[list[int]] = []  # [count of the rarest seed, first word, end word]
+        for shift, count in shifts:
+            lo, hi = max(0, shift - slack), shift + len(item) + slack
+            if parts and lo <= parts[-1][2]:
+                parts[-1][0], parts[-1][2] = min(parts[-1][0], count), hi
+            else:
+                parts.append([count, lo, hi])
+        for _, lo, hi in sorted(parts):
             part = words[lo:hi]
-            if 2 * min(np.isin(item, part).sum(), np.isin(part, item).sum()) < max(least, best[0] + 1):
+            if 2 * min(np.isin(item, part).sum(), np.isin(part, item).sum()) < max(least, best[0]):
                 continue  # cannot reach it
             score, a, b = align(item, part)
-            if score > best[0]:
+            if score > best[0] or score == best[0] and lo + a < best[1]:
                 best = (score, lo + a, lo + b)
         if best[0] >= least:
             out.append((d, i, *best))

@@ -69,6 +69,24 @@ def test_leaks_equal_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(range(len(docs))) - {g[0] for g in got})
 
 
+def test_regularly_edited_copies_are_found(spark):
+    """An n-gram that an edit destroyed takes no other's place; words inserted in front of the first seed are aligned too."""
+    rng = random.Random(4)
+    items = texts(rng, 60, 15, 60)
+    edits = [
+        lambda ws: ["other" if k % 4 == 3 else w for k, w in enumerate(ws)],
+        lambda ws: [x for k, w in enumerate(ws) for x in ([w, "new"] if k % 3 == 2 else [w])],
+        lambda ws: [x for k, w in enumerate(ws) for x in ([w, "new"] if k % 2 and k < 20 else [w])],
+    ]
+    docs = [" ".join(["before"] * 90 + edit(item.split()) + ["after"] * 90) for edit in edits for item in items]
+    scores = [matrix(items[k % 60].split(), t.split()) for k, t in enumerate(docs)]
+    want = {(k, k % 60, s) for k, s in enumerate(scores) if s >= D.threshold(len(items[k % 60].split()))}
+    kept = {k for k, j, _ in want if k < 120 or len(items[j].split()) > 23}  # three words in a row
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["score"]) for r in D.leaks(table, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert len(kept) > 100 and got <= want and {w for w in want if w[0] in kept} <= got
+
+
 def test_common_passages_and_blocks(spark, monkeypatch):
     """A passage that all texts share is found in all; several blocks of the benchmark give the same as one."""
     rng = random.Random(3)
