@@ -88,7 +88,8 @@ _SIMILAR = f"(SELECT p.doc_id AS a, q.doc_id AS b, len(list_intersect(p.g, q.g))
 
 @query(f"SELECT a, b, round(similarity, 6) AS similarity FROM {_SIMILAR} WHERE similarity >= 0.8 - 1e-9")
 def jaccard_ngram_pairs(spark, sf):
-    """Pairs of documents of one source whose first lines are alike by pairs of characters."""
+    """Pairs of English documents of one source whose first lines' first 40 characters, as in its SQL, are alike by pairs
+    of characters; text_ngram_pairs compares whole texts."""
     return N.similar_pairs(_messages(spark, sf), ["source"], "doc_id", "message").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
@@ -100,6 +101,28 @@ def similarity_components(spark, sf):
     return N.components(N.similar_pairs(_messages(spark, sf), ["source"], "doc_id", "message"))
 
 
+def _whole(spark, sf):
+    return N.similar_pairs(table(spark, sf, "documents").where("text is not null"), ["source"], "doc_id", "text")
+
+
+_TEXT_GRAMS = "(SELECT doc_id, source, CASE WHEN length(text) < 2 THEN [text] ELSE list_distinct(list_transform(range(1, length(text)), lambda i: substr(text, i, 2))) END AS g FROM documents WHERE text IS NOT NULL)"
+_ALIKE = f"(SELECT a, b, common / (na + nb - common)::DOUBLE AS similarity FROM (SELECT p.doc_id AS a, q.doc_id AS b, len(p.g) AS na, len(q.g) AS nb, len(list_intersect(p.g, q.g)) AS common FROM {_TEXT_GRAMS} p JOIN {_TEXT_GRAMS} q ON p.source = q.source AND p.doc_id < q.doc_id))"
+
+
+@query(f"SELECT a, b, round(similarity, 6) AS similarity FROM {_ALIKE} WHERE similarity >= 0.8 - 1e-9")
+def text_ngram_pairs(spark, sf):
+    """Pairs of documents of one source whose whole texts, of all languages, are alike by pairs of characters."""
+    return _whole(spark, sf).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    f"""WITH RECURSIVE e AS MATERIALIZED (SELECT a, b FROM {_ALIKE} WHERE similarity >= 0.8 - 1e-9), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS node, least(a, min(b)) AS component FROM r GROUP BY a"""
+)
+def text_components(spark, sf):
+    return N.components(_whole(spark, sf))
+
+
 _GROUPS = f"(SELECT *, line // 30 AS slot FROM {_F})"
 
 

@@ -99,3 +99,18 @@ def test_eviction_keeps_the_latest(spark):
     kept = {r["id"] for r in I.evict(df, "at", "id", 20).where("kept").collect()}
     assert len(kept) == 18 and min(i // 3 for i in kept) == 4
     assert I.evict(df, "at", "id", 30).where("kept").count() == 30
+
+
+def test_whole_texts_are_compared(spark, tmp_path):
+    """Other languages, further lines and what stands past character 40 count."""
+    from sieveworks.plans import catalog
+
+    same, own = "the first line is the same in all of the texts here", "0123456789 ABCDEFGHIJKLMNOPQRSTUVWXYZ !$%&/()=?"
+    texts = [same, f"{same}\n{own}", f"{same}\n{own}.", "ein anderer Text\nmit Zeilen", "ein anderer Text\nmit Zeilen!", "x", "", None]
+    rows = [(i, t, "de" if t and "Zeilen" in t else "en", "s") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    grams = [None if t is None else {t[i : i + 2] for i in range(len(t) - 1)} or {t} for t in texts]
+    want = {(i, j) for i, p in enumerate(grams) for j, q in enumerate(grams) if i < j and p and q and len(p & q) >= 0.8 * len(p | q)}
+    assert want == {(1, 2), (3, 4)}
+    assert {(r["a"], r["b"]) for r in catalog.QUERIES["text_ngram_pairs"](spark, str(tmp_path)).collect()} == want
+    assert {(r["node"], r["component"]) for r in catalog.QUERIES["text_components"](spark, str(tmp_path)).collect()} == {(1, 1), (2, 1), (3, 3), (4, 3)}
