@@ -4,7 +4,10 @@ Pages become DOM trees. Each page of a host is aligned with the host's reference
 gives its blocks of text the slots of the reference. A slot that holds the same text on at least CONSTANT of a host's
 different pages (of MIN_PAGES at least) is template; slots whose text varies are content. What stands in elements that
 are never part of an article (menus, headers, footers, sidebars, forms, scripts, adverts, notices, reader comments) is
-left out, and where a page marks its article, so is what lies outside of it.
+left out, and where a page marks its article, so is what lies outside of it. A class, id or role tells such an element
+by a whole token ("sidebar") or one made of such words only ("cookie-notice"); a token that merely has one among others
+("has-sidebar", "comments-open") decides nothing, the slots do. No token drops the page's body or main part, nor the
+elements around its only article.
 
 Host statistics cover all pages and are sums over (host, slot, text), so that a host with very many pages is spread over
 many tasks.
@@ -38,6 +41,9 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROPPED = RAW | frozenset("nav footer aside form head button select option input svg canvas object embed audio video dialog menu map".split())
 #: Words in a class, id or role that mark what is not part of an article.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus reply replies respond related share sharing social widget toolbar login search pagination pager complementary contentinfo skip".split())
+#: Marks of elements whose articles are other ones than the page's, and elements that no mark drops.
+FOREIGN = frozenset("hidden ad ads adv advert adverts advertisement advertisements advertising adsense comment comments commentlist disqus reply replies respond related".split())
+WHOLE = frozenset("html body main".split())
 #: An open element of the key's name ends where an element of one of these names begins.
 CLOSES = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 
@@ -110,25 +116,42 @@ def _closable(node: Node) -> bool:
     return node is not None and node.name == "p"
 
 
-def _marked(node: Node) -> bool:
-    if not node.attrs:
-        return False
-    for m in _ATTR.finditer(node.attrs):
+def _marks(node: Node) -> set[str]:
+    """The tokens of MARKS words alone in an element's class, id and role; "hidden" if it is not shown."""
+    out: set[str] = set()
+    for m in _ATTR.finditer(node.attrs or ""):
         key, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
-        if key in ("class", "id", "role") and not MARKS.isdisjoint(w.lower() for w in (*_SPLIT.split(value), *_PLAIN.split(value))):
-            return True
+        if key in ("class", "id", "role"):
+            for token in value.split():
+                if _PLAIN.sub("", token).lower() in MARKS:
+                    out.add(_PLAIN.sub("", token).lower())
+                elif MARKS.issuperset(parts := [w.lower() for w in _SPLIT.split(token) if w and not w.isdigit()]):
+                    out.update(parts)
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            out.add("hidden")
+    return out
+
+
+def _marked(node: Node) -> bool:
+    return node.name not in WHOLE and bool(_marks(node))
+
+
+def _foreign(node: Node) -> bool:
+    """Whether an article in it, or it itself, is certainly not the page's."""
+    return node.name not in WHOLE and not FOREIGN.isdisjoint(_marks(node))
+
+
+def _is_main(node: Node) -> bool:
+    return node.name == "main" or re.search(r"role\s*=\s*[\"']?main\b", node.attrs or "", re.I) is not None
 
 
 def _articles(root: Node) -> list[Node]:
-    """The outermost elements that a page marks as its article, else as its main part, else the whole page."""
-    for wanted in (lambda n: n.name == "article", lambda n: n.name == "main" or re.search(r"role\s*=\s*[\"']?main\b", n.attrs or "", re.I) is not None):
+    """The outermost elements that a page marks as its article, else as its main part, else those in or with a mark, else the whole page."""
+    for wanted, skipped in ((lambda n: n.name == "article", _marked), (_is_main, _marked), (lambda n: n.name == "article", _foreign), (_is_main, _foreign)):
         found, todo = [], [root]
         while todo:
             node = todo.pop()
-            if node is not root and (node.name in DROPPED or _marked(node)):
+            if node is not root and (node.name in DROPPED or skipped(node)):
                 continue
             if wanted(node):
                 found.append(node)

@@ -36,6 +36,24 @@ def test_blocks(page, want):
     assert text_of(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<body class='home has-sidebar'><article><p>text</article>", "text"),
+        ("<div class='layout with-sidebar'><article><p>text</article></div>", "text"),
+        ("<article class='post comments-open'><p>text</article>", "text"),
+        ("<body class='sidebar' hidden><p>text", "text"),
+        ("<p>site</p><div class='widget'><article class='post'><p>text</article></div>", "text"),
+        ("<article class='sponsored'><p>text</article>", "text"),
+        ("<article><p>text<article class='comment'><p>reader</article></article>", "text"),
+        ("<div><p>text</div><div id='comments'><article><p>reader</article></div>", "text"),
+        ("<article><p>text<div class='cookie-banner-2'><p>no</div><div class='post sidebar'><p>no</div></article>", "text"),
+    ],
+)
+def test_marks_drop_no_article(page, want):
+    assert text_of(page) == want
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_pages_equal_a_plain_reading(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
