@@ -1,15 +1,17 @@
 """HTML extraction by wrapper induction.
 
-Pages become DOM trees. Each page of a host is aligned with the host's reference page by simple tree matching, which
-gives its blocks of text the slots of the reference. A slot that holds the same text on at least CONSTANT of a host's
-different pages (of MIN_PAGES at least) is template; slots whose text varies are content. What stands in elements that
+Pages become DOM trees. The pages of a host are grouped by layout, that is by the upper elements that hold their text
+outside of articles; layouts of fewer than MIN_PAGES pages, cut off or empty pages among them, join the host's most
+frequent one. Each page is aligned with the reference page of its layout by simple tree matching, which gives its blocks
+of text the slots of the reference. A slot that holds the same text on at least CONSTANT of the layout's different pages
+that have the slot (of MIN_PAGES at least) is template; slots whose text varies are content. What stands in elements that
 are never part of an article (menus, headers, footers, sidebars, forms, scripts, adverts, notices, reader comments) is
 left out, and where a page marks its article, so is what lies outside of it. A class, id or role tells such an element
 by a whole token ("sidebar") or one made of such words only ("cookie-notice"); a token that merely has one among others
 ("has-sidebar", "comments-open") decides nothing, the slots do. No token drops the page's body or main part, nor the
 elements around its only article.
 
-Host statistics cover all pages and are sums over (host, slot, text), so that a host with very many pages is spread over
+Host statistics cover all pages and are sums over (host, layout, slot, text), so that a host with very many pages is spread over
 many tasks.
 
 Defined results: null and empty pages have the empty text; pages without an address share the empty host; rows that
@@ -24,7 +26,7 @@ import html
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -346,49 +348,90 @@ def host(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
 
 
+def layout(root: Node) -> str:
+    """A hash of the block elements, four levels deep and down to articles, with their class names; "" without any text."""
+    if not blocks(root):
+        return ""
+    paths, todo = set(), [(root, "", 0)]
+    while todo:
+        node, path, depth = todo.pop()
+        for c in _elements(node):
+            if c.name in BLOCK and c.name not in DROPPED:
+                names = () if c.name in ("html", "body", "article") else sorted({w for k, *v in _ATTR.findall(c.attrs or "") if k.lower() == "class" for w in "".join(v).split() if not re.search("[0-9]", w)})
+                own = f"{path}/{'.'.join((c.name, *names))}"
+                paths.add(own)
+                if depth < 3 and c.name not in ("article", "head"):
+                    todo.append((c, own, depth + 1))
+    return _hash("\n".join(sorted(paths)))
+
+
+def _with_layout(pages: DataFrame) -> DataFrame:
+    """pages with _layout; null and empty pages have the layout of no text."""
+    schema = T.StructType([*pages.schema.fields, T.StructField("_layout", T.StringType())])
+    at = pages.columns.index("_html")
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([layout(parse(h)) if h else "" for h in b.column(at).to_pylist()], pa.string())], names=schema.names)
+
+    return pages.mapInArrow(run, schema)
+
+
 def _references(pages: DataFrame, id_col: str) -> DataFrame:
-    """_host, _ref: the skeleton of the host's page with the smallest id among hosts of MIN_PAGES pages at least."""
-    first = pages.where(F.col("_html").isNotNull()).groupBy("_host").agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("_n")).where(f"_n >= {MIN_PAGES}").select("_host", id_col)
-    first = cut(first, "first")
-    chosen = pages.where(F.col("_html").isNotNull()).join(F.broadcast(first) if first.count() <= BROADCAST_HOSTS else first, ["_host", id_col], "left_semi").select("_host", "_html")
-    schema = T.StructType([T.StructField("_host", T.StringType()), T.StructField("_ref", T.StringType())])
+    """_host, _layout, _group, _ref: for each layout of a host of MIN_PAGES pages at least the group whose reference it
+    is aligned with, and its skeleton, that of the group's page with the smallest id."""
+    w = Window.partitionBy("_host")
+    first = Window.partitionBy("_host").orderBy((F.col("_layout") == ""), F.desc("_n"), F.desc("_size"), F.col("_id").asc_nulls_last(), "_layout")
+    seen = _with_layout(pages.where(F.col("_html").isNotNull())).groupBy("_host", "_layout").agg(F.count(F.lit(1)).alias("_n"), F.max(F.length("_html")).alias("_size"), F.min(id_col).alias("_id"))
+    seen = seen.withColumns({"_all": F.sum("_n").over(w), "_main": F.first("_layout").over(first)}).where(f"_all >= {MIN_PAGES}")
+    group = F.when((F.col("_n") >= MIN_PAGES) & (F.col("_layout") != ""), F.col("_layout")).otherwise(F.col("_main"))
+    layouts = cut(seen.select("_host", "_layout", group.alias("_group"), "_id"), "layouts")
+    wanted = layouts.where("_layout = _group and _layout <> ''").select("_host", "_layout", F.col("_id").alias(id_col))
+    small = F.broadcast if layouts.count() <= BROADCAST_HOSTS else (lambda d: d)
+    # the id alone narrows the pages before their layouts are found again
+    chosen = _with_layout(pages.where(F.col("_html").isNotNull()).join(small(wanted.select("_host", id_col).distinct()), ["_host", id_col], "left_semi")).join(small(wanted), ["_host", "_layout", id_col], "left_semi").select("_host", "_layout", "_html")
+    schema = T.StructType([T.StructField("_host", T.StringType()), T.StructField("_group", T.StringType()), T.StructField("_ref", T.StringType())])
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([skeleton(parse(h)) for h in b.column(1).to_pylist()], pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([skeleton(parse(h)) for h in b.column(2).to_pylist()], pa.string())], names=schema.names)
 
-    return chosen.mapInArrow(run, schema).groupBy("_host").agg(F.min("_ref").alias("_ref"))
+    skeletons = chosen.mapInArrow(run, schema).groupBy("_host", "_group").agg(F.min("_ref").alias("_ref"))
+    return layouts.select("_host", "_layout", "_group").join(skeletons, ["_host", "_group"])
 
 
 def _template(pages: DataFrame, references: DataFrame) -> DataFrame:
-    """_host, _constant: the (slot:text hash) entries that are template, for hosts that have any."""
-    schema = T.StructType([T.StructField("_host", T.StringType()), T.StructField("digest", T.StringType()), T.StructField("entries", T.ArrayType(T.StringType()))])
+    """_host, _group, _constant: the (slot:text hash) entries that are template, for layouts that have any."""
+    schema = T.StructType([T.StructField("_host", T.StringType()), T.StructField("_group", T.StringType()), T.StructField("digest", T.StringType()), T.StructField("entries", T.ArrayType(T.StringType()))])
 
     def run(batches):
         known = _References()
         for b in batches:
             digests, entries = [], []
-            for page, ref in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for page, ref in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 root = parse(page)
                 found = blocks(root)
                 digests.append(_hash("\n\n".join(t for _, t in found)))
                 entries.append(sorted({f"{s}:{_hash(t)}" for s, (_, t) in zip(_slots(root, known[ref], found), found, strict=True) if s}))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.string()), pa.array(entries, pa.list_(pa.string()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.string()), pa.array(entries, pa.list_(pa.string()))], names=schema.names)
 
-    seen = pages.where(F.col("_html").isNotNull()).join(references, "_host").select("_host", "_html", "_ref").mapInArrow(run, schema)
-    seen = cut(seen.groupBy("_host", "digest").agg(F.first("entries").alias("entries")), "entries")  # equal articles count once
-    totals = seen.groupBy("_host").agg(F.count(F.lit(1)).alias("total")).where(f"total >= {MIN_PAGES}")
-    counts = seen.select("_host", F.explode("entries").alias("entry")).groupBy("_host", "entry").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(totals, "_host").where(F.col("n") >= CONSTANT * F.col("total")).groupBy("_host").agg(F.array_sort(F.collect_list("entry")).alias("_constant"))
+    key = ["_host", "_group"]
+    seen = pages.where(F.col("_html").isNotNull()).join(references, ["_host", "_layout"]).select("_host", "_group", "_html", "_ref").mapInArrow(run, schema)
+    seen = cut(seen.groupBy(*key, "digest").agg(F.first("entries").alias("entries")), "entries")  # equal articles count once
+    totals = seen.groupBy(*key).agg(F.count(F.lit(1)).alias("total")).where(f"total >= {MIN_PAGES}").select(*key)
+    counts = seen.select(*key, F.explode("entries").alias("entry")).groupBy(*key, "entry").agg(F.count(F.lit(1)).alias("n")).withColumn("slot", F.substring_index("entry", ":", 1))
+    slots = counts.groupBy(*key, "slot").agg(F.sum("n").alias("pages"))  # a page has one text in a slot
+    const = counts.join(totals, key, "left_semi").join(slots, [*key, "slot"]).where(F.col("n") >= CONSTANT * F.greatest("pages", F.lit(MIN_PAGES)))
+    return const.groupBy(*key).agg(F.array_sort(F.collect_list("entry")).alias("_constant"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text (blocks joined by empty lines), n_chars."""
-    rows = pages.select(F.col(id_col), F.col(url_col), host(url_col).alias("_host"), F.col(html_col).cast("string").alias("_html"))
-    references = cut(_references(rows, id_col), "references")
+    plain = pages.select(F.col(id_col), F.col(url_col), host(url_col).alias("_host"), F.col(html_col).cast("string").alias("_html"))
+    references, rows = cut(_references(plain, id_col), "references"), _with_layout(plain)
     size = references.agg(F.coalesce(F.sum(F.length("_ref")), F.lit(0))).first()[0]
     small = F.broadcast if size <= BROADCAST_BYTES else (lambda d: d)
-    template = cut(_template(rows, small(references)), "template").join(references, "_host")  # at most 1 / CONSTANT entries a slot of the reference
+    template = cut(_template(rows, small(references)), "template").join(references, ["_host", "_group"])  # at most 1 / CONSTANT entries a slot of the reference
     schema = T.StructType([*(rows.schema[c] for c in (id_col, url_col)), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
@@ -404,4 +447,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 texts.append("\n\n".join(t for _, t in found))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return rows.join(small(template), "_host", "left").select(id_col, url_col, "_html", "_ref", "_constant").mapInArrow(run, schema)
+    return rows.join(small(template), ["_host", "_layout"], "left").select(id_col, url_col, "_html", "_ref", "_constant").mapInArrow(run, schema)

@@ -97,6 +97,16 @@ def test_constant_slots_are_template(spark):
     assert got[3] == "Text 3 is 21." and got[21] == "Our house rules apply.\n\nText 21 is 147."
 
 
+def test_every_layout_has_its_template(spark):
+    """Neither an empty, a cut off nor another page as the host's first turns induction off; each layout counts by itself."""
+    one = lambda i: f"<html><body><div><p>Our house rules apply.</p><p>Text {i} is {i * 7}.</p></div></body></html>"
+    two = lambda i: f"<html><body><section class='shop'><table><tr><td>Item {i} of {i * 3}</td></tr></table><ul><li>Free delivery.</li></ul></section></body></html>"
+    odd = ["", "<html><body><h1>Not found", "<html><body><div><p>Our hou"]
+    rows = [(k, "http://h/x", page) for k, page in enumerate([*odd, *map(one, range(12)), *map(two, range(12))])]
+    got = {r["page_id"]: r["text"] for r in W.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "", 1: "Not found", 2: "Our hou"} | {3 + i: f"Text {i} is {i * 7}." for i in range(12)} | {15 + i: f"Item {i} of {i * 3}" for i in range(12)}
+
+
 def test_copies_are_no_template(spark):
     rows = [(i, "http://h/x", "<article><p>Same text on all.</p></article>") for i in range(30)]
     got = W.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
