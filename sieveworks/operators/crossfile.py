@@ -107,14 +107,37 @@ def claims_against(claims: DataFrame, counts: DataFrame, low: float = 0.5, high:
     return claims.join(F.broadcast(counts), "category").where((F.col("actual") < F.col("quantity") * low) | (F.col("actual") > F.col("quantity") * high))
 
 
-def ngram_overlap(texts: DataFrame, key: str, text: str, reference: DataFrame, ref_key: str, ref_text: str, n: int) -> DataFrame:
-    """key, ref_key, shared: numbers of distinct word n-grams that a text shares with each reference text."""
-    words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9à-ÿ]+"), lambda w: w != "")
+#: Distinct n-grams of the reference texts that may be broadcast; beyond them both sides are joined by shuffling.
+BROADCAST_GRAMS = 1_000_000
+
+
+def _bound(array: Column, then) -> Column:
+    """then(array), with the array evaluated once per row however often then names it: it is the argument of a lambda."""
+    return F.transform(F.array(array), then)[0]
+
+
+def word_grams(text: Column, n: int) -> Column:
+    """array of struct(h, g): two hashes, 96 bits together, of each run of n words of a lower-cased text.
 
-    def grams(c):
-        w = words(c)
-        return F.array_distinct(F.transform(F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: i <= F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))
+    A run is the pair of the two runs of half its length, overlapping if n is odd, that begin and end it."""
+    words = F.filter(F.split(F.lower(text), "[^a-z0-9à-ÿ]+"), lambda w: w != "")
 
-    a = texts.select(F.col(key).alias("key"), F.explode(grams(F.col(text))).alias("gram"))
-    b = reference.select(F.col(ref_key).alias("ref_key"), F.explode(grams(F.col(ref_text))).alias("gram"))
-    return a.join(b, "gram").groupBy("key", "ref_key").agg(F.count(F.lit(1)).alias("shared"))
+    def runs(size, pair):
+        if size == 1:
+            return F.transform(words, lambda w: pair(w))
+        half, shift = (size + 1) // 2, size // 2
+        count = lambda r: F.greatest(F.lit(0), F.size(r) - shift)
+        return _bound(runs(half, F.xxhash64), lambda r: F.zip_with(F.slice(r, 1, count(r)), F.slice(r, shift + 1, count(r)), lambda x, y: pair(x, y)))
+
+    return runs(n, lambda *x: F.struct(F.xxhash64(*x).alias("h"), F.hash(*x).alias("g")))
+
+
+def ngram_overlap(texts: DataFrame, key: str, text: str, reference: DataFrame, ref_key: str, ref_text: str, n: int) -> DataFrame:
+    """key, ref_key, shared: numbers of distinct word n-grams that a text shares with each reference text.
+
+    The reference's hashes go to the texts, if they are few enough, so that only common n-grams are shuffled."""
+    a = texts.select(F.col(key).alias("key"), F.inline_outer(word_grams(F.col(text), n)))  # outer: no filter on the array is inferred, which would build it twice
+    b = reference.select(F.col(ref_key).alias("ref_key"), F.inline_outer(word_grams(F.col(ref_text), n))).distinct()
+    if b.count() <= BROADCAST_GRAMS:
+        b = F.broadcast(b)
+    return a.join(b, ["h", "g"]).groupBy("key", "ref_key").agg(F.countDistinct("h", "g").alias("shared"))
