@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import time
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -21,14 +22,15 @@ def schedule_of(q):
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.integers(1, 40), min_size=1, max_size=7))
 def test_schedule(spark, q):
-    quota = spark.createDataFrame([(f"s{i}", 1, x) for i, x in enumerate(q)], "_src string, n long, q long")
+    quota = spark.createDataFrame([(f"s{i}", 1, x) for i, x in enumerate(q)], "src string, n long, q long")
     rows = mixing.schedule(quota).collect()
-    assert sorted((r["slot"], int(r["_src"][1:]), r["j"]) for r in rows) == schedule_of(q)
-    p = sum(q)
-    for r in rows:
+    assert sorted((r["slot"], int(r["src"][1:]), r["j"]) for r in rows) == schedule_of(q)
+    p, placed = sum(q), [0] * len(q)
+    for r in sorted(rows, key=lambda r: r["slot"]):
         assert r["release"] <= r["slot"] < r["deadline"]
-        for i, m in enumerate(r["mine"]):
-            assert abs(m["c"] - r["slot"] * q[i] / p) < 1
+        for i, m in enumerate(placed):
+            assert abs(m - r["slot"] * q[i] / p) < 1
+        placed[int(r["src"][1:])] += 1
 
 
 def test_every_document_once_and_on_target(spark):
@@ -67,3 +69,22 @@ def test_no_python_on_the_way(spark):
     plan = mixing.mix(spark.range(5).selectExpr("id doc_id", "'a' source"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
+
+
+def test_columns_of_any_name_are_passed_on(spark):
+    names = ["_src", "_own", "period", "slot", "src", "q", "doc", "cell", "r", "rank", "blocks", "round", "a.b", "x`y", "mix_slot"]
+    rows = [(i, f"s{i % 3}", *(f"{n}{i}" for n in names)) for i in range(60)]
+    fields = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    got = mixing.mix(spark.createDataFrame(rows, f"doc_id long, source string, {fields}"), block_docs=4)
+    assert got.columns == ["doc_id", "source", *names[:-1], *mixing.ADDED]
+    assert sorted(tuple(r)[:-5] for r in got.collect()) == [r[:-1] for r in rows]
+    assert sorted(r["mix_position"] for r in got.collect()) == list(range(60))
+
+
+def test_many_sources(spark):
+    """As many sources as documents, nearly: the work grows with the blocks, not with sources times slots or documents."""
+    began = time.monotonic()
+    df = spark.range(12000).selectExpr("id as doc_id", "if(id < 4000, 'big', concat('s', id % 5000)) as source")
+    got = mixing.mix(df).select("mix_position", "mix_slot", "mix_deadline").collect()
+    assert sorted(r[0] for r in got) == list(range(12000)) and all(r[1] < r[2] for r in got)
+    assert time.monotonic() - began < 60
