@@ -9,7 +9,7 @@ has run out is passed over; every document comes once.
 Only the schedule of one period is made in one place: it has P rows, and P is at most the parameter slots plus the number
 of sources, whatever the number of documents. Ranks within a source are taken by leading digits of the hash, so a source
 that holds most rows is spread over many tasks. A block's position is the sum of the sizes of the blocks before it, by
-periods and then by slots: of blocks only, so that documents move once, however many sources there are.
+stretches of slots: of blocks only, so that documents move once, however many sources there are.
 
 Defined results: a null source is a source of its own; null ids hash like the empty text; rows with equal ids each get a
 position of their own, in arbitrary order; an empty table gives an empty result; extra columns are passed on, whatever
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 ADDED = ("mix_block", "mix_slot", "mix_release", "mix_deadline", "mix_position")
 BLOCK_DOCS, SLOTS = 16, 1000
+#: Slots whose blocks' sizes are summed up together.
+STRETCH = 128
 
 
 def _key(source: str) -> Column:
@@ -63,12 +65,11 @@ def schedule(quota: DataFrame) -> DataFrame:
 
 def _before(sizes: DataFrame, at: str, size: str, stretch: int = 4096) -> DataFrame:
     """at, before: the sum of size over all rows with a smaller at (distinct whole numbers from 0 on), by stretches first."""
-    parts = sizes.withColumn("part", F.expr(f"{at} div {stretch}"))
-    whole = parts.groupBy("part").agg(F.sum(size).alias("whole"))
-    w = Window.orderBy("part")
-    whole = whole.select("part", (F.sum("whole").over(w) - F.col("whole")).alias("earlier"))
-    own = Window.partitionBy("part").orderBy(at)
-    return parts.withColumn("own", F.sum(size).over(own) - F.col(size)).join(whole, "part").select(at, (F.col("earlier") + F.col("own")).alias("before"))
+    own = Window.partitionBy("far").orderBy(at)
+    parts = sizes.withColumn("far", F.expr(f"{at} div {stretch}")).withColumn("own", F.sum(size).over(own) - F.col(size))
+    whole = parts.groupBy("far").agg(F.sum(size).alias("whole"))
+    whole = whole.select("far", (F.sum("whole").over(Window.orderBy("far")) - F.col("whole")).alias("earlier"))
+    return parts.join(whole, "far").select(at, (F.col("earlier") + F.col("own")).alias("before"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, slots: int = SLOTS, id_col: str = "doc_id", source: str = "source") -> DataFrame:
@@ -89,11 +90,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: in
     blocks = cells.join(F.broadcast(quota), "src").withColumn("k", F.explode(F.expr(f"sequence(first div {block_docs}, (first + here - 1) div {block_docs})")))
     blocks = blocks.withColumn("round", F.expr("k div q")).withColumn("j", F.expr("k % q")).withColumn("size", F.expr(f"if(k * {block_docs} >= first, least({block_docs}, n - k * {block_docs}), 0)"))
     blocks = blocks.drop("q").join(F.broadcast(plan), ["src", "j"])
-    earlier = Window.partitionBy("round").orderBy("slot").rangeBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("within", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
-    blocks = blocks.join(_before(blocks.groupBy("round").agg(F.sum("size").alias("all")), "round", "all"), "round")
     shift = F.col("round") * F.col("period")
-    added = [F.col("k"), shift + F.col("slot"), shift + F.col("release"), shift + F.col("deadline"), F.col("before") + F.col("within")]
+    blocks = blocks.withColumn("at", shift + F.col("slot")).withColumn("part", F.expr(f"at div {STRETCH}"))
+    earlier = Window.partitionBy("part").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("within", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+    blocks = blocks.join(_before(blocks.groupBy("part").agg(F.sum("size").alias("all")), "part", "all"), "part")
+    added = [F.col("k"), F.col("at"), shift + F.col("release"), shift + F.col("deadline"), F.col("before") + F.col("within")]
     placed = F.array_sort(F.collect_list(F.struct(*(c.cast("long").alias(n) for c, n in zip(added, ADDED, strict=True)))))
     per_cell = blocks.groupBy("src", "cell").agg(placed.alias("blocks"), F.first("first").alias("first"))
     rows = rows.join(per_cell, ["src", "cell"]).withColumn("rank", F.col("first") + F.col("r"))
