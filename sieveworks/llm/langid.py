@@ -1,12 +1,15 @@
 """Language ID by a bidirectional gated recurrent network over bytes, trained in numpy.
 
-The recurrence runs over the bytes of a word in both directions and starts anew at each word, so that equal words have
-equal labels: every byte of every word gets log probabilities from the two states that meet there, and each distinct
-word is computed once per worker and remembered. A document's probabilities are pooled as the normalised geometric mean
-over all its positions. Training is backpropagation through time with Adam, from a fixed seed.
+The recurrence runs over all bytes of the lower-cased text, blanks, digits and signs among them, in both directions, and
+every byte gets log probabilities from the two states that meet there. A text is covered by windows of CORE bytes; the
+recurrence of a window begins CONTEXT bytes before it and ends CONTEXT bytes after it (or where the text does), so that a
+text of any length is read in bounded memory and every position has that much context on both sides. A document's
+probabilities are pooled as the normalised geometric mean over all its positions. Training is backpropagation through
+time with Adam, from a fixed seed.
 
 The training sample is bounded: at most TRAIN_DOCS documents, chosen by a hash of their ids, and of each at most
-TRAIN_WORDS distinct words, chosen by their hashes. Predictions are for whole texts of all documents.
+TRAIN_WINDOWS stretches of TRAIN_WIDTH bytes, evenly spread over the whole text. Predictions read whole texts of all
+documents.
 
 Defined results: text is taken in lower case; null texts and texts without a letter are und with score 0; so is
 everything if no language could be learned; null ids count as the empty text in the folds; rows that repeat are each
@@ -22,22 +25,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveworks.llm.common import fold, hash_sample
-from sieveworks.llm.kernels import buffers, mix, word_hashes
+from sieveworks.llm.kernels import buffers
 
-TRAIN_DOCS, TRAIN_WORDS = 4000, 200
-#: Bytes of a word that the network sees at once; longer words are cut into several.
-WIDTH = 24
-HIDDEN, STEPS, BATCH, RATE = 16, 400, 512, 0.01
-#: Distinct words that a worker remembers.
-MEMORY = 1_000_000
-
-
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+TRAIN_DOCS, TRAIN_WINDOWS, TRAIN_WIDTH = 4000, 8, 96
+#: Bytes of a text that a window labels, and bytes on each side that its recurrence reads besides.
+CORE, CONTEXT = 448, 32
+#: Windows that are computed at once.
+ROWS = 512
+HIDDEN, STEPS, BATCH, RATE = 8, 250, 128, 0.02
 
 
 class ByteGRU:
-    """Two gated recurrent layers, one from each end of a word, and a softmax at each byte."""
+    """Two gated recurrent layers, one from each end of a window, and a softmax at each byte."""
 
     def __init__(self, classes: int, hidden: int = HIDDEN, seed: int = 0):
         rng, h = np.random.default_rng(seed), hidden
@@ -45,71 +44,89 @@ class ByteGRU:
         self.p = {f"{k}{d}": (rng.normal(0, s, shape)).astype(np.float32) for d in "fb" for k, shape, s in (("E", (256, 3 * h), 0.3), ("U", (h, 3 * h), h**-0.5))}
         self.p |= {"V": rng.normal(0, h**-0.5, (2 * h, classes)).astype(np.float32), "c": np.zeros(classes, np.float32)}
 
-    def _run(self, x, d):
-        """States after each of the bytes x (batch x time), and what backpropagation needs."""
-        h, e, u = self.h, self.p[f"E{d}"], self.p[f"U{d}"]
-        state, steps = np.zeros((len(x), h), np.float32), []
-        for t in range(x.shape[1]):
-            g = e[x[:, t]]
-            zr = _sigmoid(g[:, : 2 * h] + state @ u[:, : 2 * h])
-            z, r = zr[:, :h], zr[:, h:]
-            n = np.tanh(g[:, 2 * h :] + (r * state) @ u[:, 2 * h :])
-            new = n + z * (state - n)
-            steps.append((state, z, r, n, new))
-            state = new
-        return steps
-
-    def features(self, x, sizes):
-        """x: batch x time bytes, left-aligned. Features of each position (batch x time x 2h), valid below sizes."""
-        back = self._mirror(sizes, x.shape[1])
-        f, b = self._run(x, "f"), self._run(np.take_along_axis(x, back, 1), "b")
-        hf, hb = np.stack([s[4] for s in f], 1), np.stack([s[4] for s in b], 1)
-        return np.concatenate([hf, np.take_along_axis(hb, back[:, :, None], 1)], 2), f, b, back
+    def _run(self, x, way, keep=False):
+        """States (time + 1 x batch x h, from the zero state on) over the bytes x (time x batch); with keep also the gates."""
+        h, e, u = self.h, self.p[f"E{way}"], self.p[f"U{way}"]
+        gates, inner = np.ascontiguousarray(u[:, : 2 * h]), np.ascontiguousarray(u[:, 2 * h :])
+        (steps, rows), kind, x = x.shape, u.dtype, x.astype(np.intp)
+        states = np.zeros((steps + 1, rows, h), kind)
+        kept = np.empty((steps, rows, 3 * h), kind) if keep else None
+        g, a, c, reset = np.empty((rows, 3 * h), kind), np.empty((rows, 2 * h), kind), np.empty((rows, h), kind), np.empty((rows, h), kind)
+        for t in range(steps):
+            state, new = states[t], states[t + 1]
+            np.take(e, x[t], axis=0, out=g, mode="clip")
+            np.matmul(state, gates, out=a)
+            a += g[:, : 2 * h]
+            a *= 0.5  # the logistic function by tanh
+            np.tanh(a, out=a)
+            a *= 0.5
+            a += 0.5
+            np.multiply(state, a[:, h:], out=reset)
+            np.matmul(reset, inner, out=c)
+            c += g[:, 2 * h :]
+            np.tanh(c, out=c)
+            np.subtract(state, c, out=new)
+            new *= a[:, :h]
+            new += c
+            if keep:
+                kept[t, :, : 2 * h], kept[t, :, 2 * h :] = a, c
+        return states, kept
 
     @staticmethod
     def _mirror(sizes, width):
-        t = np.arange(width)[None, :]
-        return np.where(t < sizes[:, None], sizes[:, None] - 1 - t, t)
+        """time x batch: for each place in a reversed window its place in the window, and the other way round."""
+        t = np.arange(width)[:, None]
+        return np.where(t < sizes[None, :], sizes[None, :] - 1 - t, t)
+
+    def _logits(self, x, sizes, keep=False):
+        """time x batch x classes, and what backpropagation needs; x: time x batch."""
+        h, back = self.h, self._mirror(sizes, len(x))
+        turned = np.take_along_axis(x, back, 0)
+        f, b = self._run(x, "f", keep), self._run(turned, "b", keep)
+        out = f[0][1:] @ self.p["V"][:h] + np.take_along_axis(b[0][1:] @ self.p["V"][h:], back[:, :, None], 0) + self.p["c"]
+        return out, f, b, back, turned
 
     def log_probabilities(self, x, sizes):
-        a = self.features(x, sizes)[0] @ self.p["V"] + self.p["c"]
+        """batch x time x classes of left-aligned windows x (batch x time), valid below sizes."""
+        a = self._logits(np.ascontiguousarray(x.T), sizes)[0]
         a -= a.max(2, keepdims=True)
-        return a - np.log(np.exp(a).sum(2, keepdims=True))
+        a -= np.log(np.exp(a).sum(2, keepdims=True))
+        return a.transpose(1, 0, 2)
 
     def gradients(self, x, sizes, y):
         """Mean cross-entropy over all positions, and its gradients by backpropagation through time."""
-        feats, f, b, back = self.features(x, sizes)
-        a = feats @ self.p["V"] + self.p["c"]
+        x, h = np.ascontiguousarray(x.T), self.h
+        a, f, b, back, turned = self._logits(x, sizes, keep=True)
         a -= a.max(2, keepdims=True)
         q = np.exp(a)
         q /= q.sum(2, keepdims=True)
-        live = np.arange(x.shape[1])[None, :] < sizes[:, None]
+        live = np.arange(len(x))[:, None] < sizes[None, :]
         total = live.sum()
-        loss = -np.log(q[np.arange(len(x))[:, None], np.arange(x.shape[1])[None, :], y[:, None]] + 1e-9)[live].sum() / total
-        q[np.arange(len(x))[:, None], np.arange(x.shape[1])[None, :], y[:, None]] -= 1
-        q *= live[:, :, None] / np.float32(total)
-        grads = {"V": np.einsum("bti,btl->il", feats, q), "c": q.sum((0, 1))}
-        d = q @ self.p["V"].T
-        h = self.h
-        for way, steps, bytes_, dh in (("f", f, x, d[:, :, :h]), ("b", b, np.take_along_axis(x, back, 1), np.take_along_axis(d[:, :, h:], back[:, :, None], 1))):
+        own = (np.arange(len(x))[:, None], np.arange(x.shape[1])[None, :], y[None, :])
+        loss = -np.log(q[own] + 1e-9)[live].sum() / total
+        q[own] -= 1
+        q *= live[:, :, None] / q.dtype.type(total)
+        mirrored = np.take_along_axis(q, back[:, :, None], 0)
+        grads = {"V": np.concatenate([np.einsum("tbi,tbl->il", f[0][1:], q), np.einsum("tbi,tbl->il", b[0][1:], mirrored)]), "c": q.sum((0, 1))}
+        for way, bytes_, (states, kept), d in (("f", x, f, q @ self.p["V"][:h].T), ("b", turned, b, mirrored @ self.p["V"][h:].T)):
             u = self.p[f"U{way}"]
-            ge, gu, carry = np.zeros_like(self.p[f"E{way}"]), np.zeros_like(u), np.zeros((len(x), h), np.float32)
-            for t in range(x.shape[1] - 1, -1, -1):
-                state, z, r, n, _ = steps[t]
-                do = carry + dh[:, t]
-                dn = do * (1 - z) * (1 - n * n)
-                dz = do * (state - n) * z * (1 - z)
-                back_n = dn @ u[:, 2 * h :].T
-                dr = back_n * state * r * (1 - r)
-                dzr = np.concatenate([dz, dr], 1)
-                carry = do * z + back_n * r + dzr @ u[:, : 2 * h].T
-                gu[:, : 2 * h] += state.T @ dzr
+            into, gu, carry = np.empty_like(kept), np.zeros_like(u), np.zeros_like(states[0])
+            for t in range(len(x) - 1, -1, -1):
+                state, z, r, n = states[t], kept[t, :, :h], kept[t, :, h : 2 * h], kept[t, :, 2 * h :]
+                out = carry + d[t]
+                dn = out * (1 - z) * (1 - n * n)
+                to_n = dn @ u[:, 2 * h :].T
+                into[t, :, :h] = out * (state - n) * z * (1 - z)
+                into[t, :, h : 2 * h] = to_n * state * r * (1 - r)
+                into[t, :, 2 * h :] = dn
+                carry = out * z + to_n * r + into[t, :, : 2 * h] @ u[:, : 2 * h].T
+                gu[:, : 2 * h] += state.T @ into[t, :, : 2 * h]
                 gu[:, 2 * h :] += (r * state).T @ dn
-                np.add.at(ge, bytes_[:, t], np.concatenate([dzr, dn], 1))
-            grads |= {f"E{way}": ge, f"U{way}": gu}
+            flat, which = into.reshape(-1, 3 * h), bytes_.ravel()
+            grads |= {f"E{way}": np.stack([np.bincount(which, flat[:, k], 256) for k in range(3 * h)], 1).astype(u.dtype), f"U{way}": gu}
         return loss, grads
 
-    def fit(self, words, sizes, y, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 1):
+    def fit(self, windows, sizes, y, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = 1):
         """Adam over random batches in which every class has an equal share."""
         rng = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
@@ -117,59 +134,37 @@ class ByteGRU:
         for i in range(1, steps + 1):
             pick = np.concatenate([rng.choice(o, max(1, batch // len(of))) for o in of])
             width = max(1, int(sizes[pick].max()))
-            _, g = self.gradients(words[pick, :width], sizes[pick], y[pick])
+            _, g = self.gradients(windows[pick, :width], sizes[pick], y[pick])
             now = rate * (1 if i < 0.7 * steps else 0.2)
+            norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
             for k, a in self.p.items():
-                m[k] += 0.1 * (g[k] - m[k])
-                v[k] += 0.01 * (g[k] * g[k] - v[k])
+                own = g[k] / max(1.0, norm)
+                m[k] += 0.1 * (own - m[k])
+                v[k] += 0.01 * (own * own - v[k])
                 a -= (now * (m[k] / (1 - 0.9**i)) / (np.sqrt(v[k] / (1 - 0.99**i)) + 1e-8)).astype(np.float32)
         return self
 
 
-def _pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """Words as rows of WIDTH bytes: (rows, sizes, number of the word that each row is part of)."""
-    sizes = ends - starts
-    parts = np.maximum(1, -(-sizes // WIDTH))
-    word = np.repeat(np.arange(len(sizes)), parts)
-    nth = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
-    begin = starts[word] + nth * WIDTH
-    size = np.minimum(WIDTH, ends[word] - begin)
-    at = begin[:, None] + np.arange(WIDTH)[None, :]
-    rows = np.where(np.arange(WIDTH)[None, :] < size[:, None], data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
-    return rows, size, word
-
-
-def _spans(texts: pa.Array):
-    """Bytes, and hash, start, end and text number of each word with a letter byte."""
-    hashes, bounds, s, e = word_hashes(texts, spans=True)
-    data, offsets = buffers(texts)
-    owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    s, e = s + offsets[owner], e + offsets[owner]
-    letters = np.concatenate([[0], np.cumsum((data >= 97) & (data <= 122) | (data >= 128))])
-    good = letters[e] > letters[s]
-    return data, hashes[good], s[good], e[good], owner[good]
-
-
-def training_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out=(3, 1), docs_bound: int = TRAIN_DOCS):
-    """(languages, rows, sizes, classes) of the bounded training sample."""
+def training_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out=(3, 1), docs_bound: int = TRAIN_DOCS):
+    """(languages, windows, sizes, classes) of the bounded training sample."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, held_out[0]) != held_out[1]))
     sample = hash_sample(known, F.coalesce(F.col(id_col).cast("string"), F.lit("")), known.count(), docs_bound, "langid")
-    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("words", T.ArrayType(T.BinaryType()))])
+    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("windows", T.ArrayType(T.BinaryType()))])
 
     def run(batches):
         for b in batches:
-            data, hashes, s, e, owner = _spans(b.column(1))
+            data, offsets = buffers(b.column(1))
             out = []
-            for d in range(b.num_rows):
-                mine = np.flatnonzero(owner == d)
-                _, first = np.unique(mix(hashes[mine]), return_index=True)
-                out.append([data[s[k] : min(e[k], s[k] + WIDTH)].tobytes() for k in mine[first[:TRAIN_WORDS]]])
+            for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
+                many = int(min(TRAIN_WINDOWS, -(-(hi - lo) // TRAIN_WIDTH)))
+                starts = {int(lo + max(0, hi - lo - TRAIN_WIDTH) * k // max(1, many - 1)) for k in range(many)}
+                out.append([data[s : min(hi, s + TRAIN_WIDTH)].tobytes() for s in sorted(starts)] if _has_letter(data[lo:hi]) else [])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.binary()))], names=schema.names)
 
     got = sorted((r[0], [bytes(w) for w in r[1]]) for r in sample.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).mapInArrow(run, schema).collect())
-    languages = sorted({lang for lang, words in got if words})
-    pairs = [(languages.index(lang), w) for lang, words in got for w in words]
-    rows, sizes = np.zeros((len(pairs), WIDTH), np.uint8), np.zeros(len(pairs), np.int64)
+    languages = sorted({lang for lang, windows in got if windows})
+    pairs = [(languages.index(lang), w) for lang, windows in got for w in windows]
+    rows, sizes = np.zeros((len(pairs), TRAIN_WIDTH), np.uint8), np.zeros(len(pairs), np.int64)
     for i, (_, w) in enumerate(pairs):
         rows[i, : len(w)], sizes[i] = np.frombuffer(w, np.uint8), len(w)
     return languages, rows, sizes, np.array([k for k, _ in pairs], np.int64)
@@ -177,71 +172,54 @@ def training_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def train(docs: DataFrame, **options):
     """(languages, network); the network is None if there is nothing to learn from."""
-    languages, rows, sizes, y = training_words(docs, **options)
+    languages, rows, sizes, y = training_windows(docs, **options)
     return (languages, ByteGRU(len(languages)).fit(rows, sizes, y)) if languages else ([], None)
 
 
-class _Memory:
-    """What the network says of each distinct word: sums of log probabilities and the number of positions."""
-
-    def __init__(self, net: ByteGRU):
-        self.net, self.keys, self.sums = net, np.zeros(0, np.uint64), np.zeros((0, len(net.p["c"]) + 1), np.float32)
-
-    def of(self, hashes, data, starts, ends):
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
-        new = np.flatnonzero(self.keys[at] != distinct) if len(self.keys) else np.arange(len(distinct))
-        out = np.zeros((len(distinct), self.sums.shape[1]), np.float32)
-        if len(self.keys):
-            out[:] = self.sums[at]
-        if len(new):
-            out[new] = self._computed(data, starts[first[new]], ends[first[new]])
-            if len(self.keys) + len(new) > MEMORY:
-                self.keys, self.sums = self.keys[:0], self.sums[:0]
-            if len(new) <= MEMORY:
-                order = np.argsort(np.concatenate([self.keys, distinct[new]]), kind="stable")
-                self.keys = np.concatenate([self.keys, distinct[new]])[order]
-                self.sums = np.concatenate([self.sums, out[new]])[order]
-        return out, back
-
-    def _computed(self, data, starts, ends):
-        out = np.zeros((len(starts), self.sums.shape[1]), np.float32)
-        for k in range(0, len(starts), 8192):
-            rows, sizes, word = _pieces(data, starts[k : k + 8192], ends[k : k + 8192])
-            order = np.argsort(sizes, kind="stable")
-            for part in np.array_split(order, max(1, len(order) // 1024)):
-                width = int(sizes[part].max())
-                lp = self.net.log_probabilities(rows[part, :width], sizes[part])
-                lp *= (np.arange(width)[None, :] < sizes[part][:, None])[:, :, None]
-                np.add.at(out, k + word[part], np.concatenate([lp.sum(1), sizes[part][:, None]], 1).astype(np.float32))
-        return out
+def _has_letter(text: np.ndarray) -> bool:
+    """Whether the bytes of a text in lower case hold a letter."""
+    if ((text >= 97) & (text <= 122)).any():
+        return True
+    return bool((text >= 128).any()) and any(c.isalpha() for c in text.tobytes().decode("utf-8", "replace"))
+
+
+def pooled(net: ByteGRU, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """texts x classes: sums of the log probabilities of all positions of each text, given as bytes and offsets."""
+    many = -(-np.diff(offsets) // CORE)
+    owner = np.repeat(np.arange(len(many)), many)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+    lo, hi = offsets[owner] + nth * CORE, np.minimum(offsets[owner] + (nth + 1) * CORE, offsets[owner + 1])
+    begin, end = np.maximum(lo - CONTEXT, offsets[owner]), np.minimum(hi + CONTEXT, offsets[owner + 1])
+    out = np.zeros((len(many), len(net.p["c"])))
+    order = np.argsort(end - begin, kind="stable")
+    for part in np.split(order, range(ROWS, len(order), ROWS)) if len(order) else []:
+        sizes = end[part] - begin[part]
+        t = np.arange(int(sizes.max()))[None, :]
+        at = np.minimum(begin[part][:, None] + t, len(data) - 1)
+        lp = net.log_probabilities(data[at], sizes)
+        inner = (at >= lo[part][:, None]) & (at < hi[part][:, None]) & (t < sizes[:, None])
+        np.add.at(out, owner[part], np.einsum("btc,bt->bc", lp, inner.astype(lp.dtype)))
+    return out
 
 
 def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", held_out=(3, 1)) -> DataFrame:
     """One row per row of docs: id, held_out, lang_pred, score."""
-    languages, net = model
-    shared = docs.sparkSession.sparkContext.broadcast((languages, net))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         names, net = shared.value
-        memory = _Memory(net) if net else None
         for b in batches:
             langs, scores = ["und"] * b.num_rows, [0.0] * b.num_rows
-            if memory:
-                data, hashes, s, e, owner = _spans(b.column(2))
-                if len(hashes):
-                    sums, back = memory.of(hashes, data, s, e)
-                    pooled = np.stack([np.bincount(owner, sums[back, k], b.num_rows) for k in range(sums.shape[1])], 1)
-                    plain = (data >= 97) & (data <= 122)
-                    plain = np.concatenate([[0], np.cumsum(plain)])
-                    sure = np.bincount(owner, plain[e] > plain[s], b.num_rows) > 0
-                    for d in np.flatnonzero(pooled[:, -1] > 0):
-                        if sure[d] or any(c.isalpha() for c in b.column(2)[d].as_py()):
-                            q = pooled[d, :-1] / pooled[d, -1]
-                            q = np.exp(q - q.max())
-                            k = int(q.argmax())
-                            langs[d], scores[d] = names[k], float(q[k] / q.sum())
+            if net:
+                data, offsets = buffers(b.column(2))
+                sums = pooled(net, data, offsets)
+                for d, (lo, hi) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
+                    if _has_letter(data[lo:hi]):
+                        q = sums[d] / (hi - lo)
+                        q = np.exp(q - q.max())
+                        k = int(q.argmax())
+                        langs[d], scores[d] = names[k], float(q[k] / q.sum())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     return docs.select(F.col(id_col), (fold(id_col, held_out[0]) == held_out[1]).alias("held_out"), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)

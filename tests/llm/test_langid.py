@@ -38,16 +38,31 @@ def test_positions_do_not_depend_on_padding():
     assert np.allclose(a[0], net.log_probabilities(padded, np.array([5]))[0, :5], atol=1e-5)
 
 
-def test_memory_changes_nothing(monkeypatch):
-    net = langid.ByteGRU(2)
-    texts = pa.array(["eins zwei drei", "zwei " * 50, "x" * 100])
-    args = langid._spans(texts)
-    want = langid._Memory(net).of(args[1], args[0], args[2], args[3])
-    monkeypatch.setattr(langid, "MEMORY", 1)
-    memory = langid._Memory(net)
-    for _ in range(2):
-        got = memory.of(args[1], args[0], args[2], args[3])
-        assert np.allclose(got[0], want[0], atol=1e-4) and (got[1] == want[1]).all()
+def test_windows_equal_a_plain_reading(spark, docs, monkeypatch):
+    """Every position by itself: a recurrence written out for single bytes, over the window that the position is in."""
+    monkeypatch.setattr(langid, "CORE", 16)
+    monkeypatch.setattr(langid, "CONTEXT", 5)
+    monkeypatch.setattr(langid, "ROWS", 3)
+    net = langid.ByteGRU(3, 4)
+
+    def state(text, way):
+        h, e, u, s = 4, net.p[f"E{way}"], net.p[f"U{way}"], np.zeros(4)
+        for c in text if way == "f" else text[::-1]:
+            zr = 1 / (1 + np.exp(-(e[c, : 2 * h] + s @ u[:, : 2 * h])))
+            n = np.tanh(e[c, 2 * h :] + (zr[h:] * s) @ u[:, 2 * h :])
+            s = n + zr[:h] * (s - n)
+        return s
+
+    texts = ["", "voici 12 mots\n et la fin; ", "x" * 40, "é ü", "ab " * 21]
+    data, offsets = langid.buffers(pa.array(texts))
+    got = langid.pooled(net, data, offsets)
+    for d, text in enumerate(t.encode() for t in texts):
+        want = np.zeros(3)
+        for k in range(len(text)):
+            lo, hi = max(0, k // 16 * 16 - 5), min(len(text), k // 16 * 16 + 16 + 5)
+            a = np.concatenate([state(text[lo : k + 1], "f"), state(text[k:hi], "b")]) @ net.p["V"] + net.p["c"]
+            want += a - np.log(np.exp(a).sum())
+        assert np.allclose(got[d], want, atol=1e-4)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
