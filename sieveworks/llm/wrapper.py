@@ -2,17 +2,25 @@
 
 Pages become DOM trees. The pages of a host are grouped by layout, that is by the upper elements that hold their text
 outside of articles; layouts of fewer than MIN_PAGES pages, cut off or empty pages among them, join the host's most
-frequent one. Each page is aligned with the reference page of its layout by simple tree matching, which gives its blocks
-of text the slots of the reference. A slot that holds the same text on at least CONSTANT of the layout's different pages
-that have the slot (of MIN_PAGES at least) is template; slots whose text varies are content. What stands in elements that
-are never part of an article (menus, headers, footers, sidebars, forms, scripts, adverts, notices, reader comments) is
-left out, and where a page marks its article, so is what lies outside of it. A class, id or role tells such an element
-by a whole token ("sidebar") or one made of such words only ("cookie-notice"); a token that merely has one among others
-("has-sidebar", "comments-open") decides nothing, the slots do. No token drops the page's body or main part, nor the
-elements around its only article.
-
-Host statistics cover all pages and are sums over (host, layout, slot, text), so that a host with very many pages is spread over
-many tasks.
+frequent one. Each page is aligned with the reference page of its layout by simple tree matching, which gives its elements
+and its blocks of text their places in the reference. Over all the layout's different pages, two things are induced:
+
+* regions. An element that repeats a kind of child in numbers that differ from page to page (none of them on CONSTANT of
+  the pages) is a varying slot; the outermost such elements are the content, as far as they hold text other than links,
+  and what lies around them is the frame, which is template whatever its words are. Only where they hold most of the
+  layout's text does this decide.
+* constants. A block that holds the same text on at least CONSTANT of the pages that have its place (of MIN_PAGES at
+  least) is template; blocks whose text varies are content.
+
+What the page's own marks say refines this: what stands in elements that are never part of an article (menus, headers,
+footers, sidebars, forms, scripts, adverts, notices, reader comments) is left out, an article or main part around a region
+is content as a whole, and where no region decides (hosts of few pages, pages unlike their host's) the marked article is
+taken. A class, id or role tells such an element by a whole token ("sidebar") or one made of such words only
+("cookie-notice"); a token that merely has one among others ("has-sidebar", "comments-open") decides nothing. No token drops the
+page's body or main part, nor the elements around its only article. With marks=False induction alone decides.
+
+Host statistics cover all pages and are sums over (host, layout, place, value), so that a host with very many pages is
+spread over many tasks.
 
 Defined results: null and empty pages have the empty text; pages without an address share the empty host; rows that
 repeat are each extracted and count once for their host; unclosed elements end where their parent does, an unclosed tag,
@@ -33,6 +41,8 @@ from pyspark.sql import types as T
 from sieveworks.llm.common import cut
 
 MIN_PAGES, CONSTANT = 8, 0.8
+#: Shares of text: of a region to be content, in the largest region's; of all content regions to decide, in the layout's.
+REGION, DECISIVE = 0.25, 0.5
 #: Bytes of reference pages, and number of hosts, that may be broadcast; beyond them the joins are left to the planner.
 BROADCAST_BYTES, BROADCAST_HOSTS = 16_000_000, 500_000
 
@@ -164,8 +174,8 @@ def _articles(root: Node) -> list[Node]:
     return [root]
 
 
-def blocks(root: Node) -> list[tuple[Node, str]]:
-    """(element, text) of each block of the article in page order; empty blocks are left out."""
+def blocks(root: Node, tops: list[Node] | None = None, marks: bool = True) -> list[tuple[Node, str]]:
+    """(element, text) of each block of the article, or of the elements tops, in page order; empty blocks are left out."""
     out: list[tuple[Node, str]] = []
     parts: list[str] = []
 
@@ -177,7 +187,7 @@ def blocks(root: Node) -> list[tuple[Node, str]]:
                 out.append((owner, text))
 
     # entries: (node, owner, headings only) or, to end a block, (None, owner, ...)
-    for top in _articles(root):
+    for top in tops or (_articles(root) if marks else [root]):
         todo = [(top, top, False)]
         while todo:
             node, owner, only = todo.pop()
@@ -188,11 +198,13 @@ def blocks(root: Node) -> list[tuple[Node, str]]:
                 if not only or owner.name in HEADINGS:
                     parts.append(node)
                 continue
-            if node is not top:
+            if node is not top and marks:
                 if node.name in DROPPED or _marked(node) and node.name not in HEADINGS:
                     continue
                 if node.name == "header":
                     only = True
+            elif node.name in RAW:
+                continue
             if node.name == "br":
                 parts.append("\n")
                 continue
@@ -309,24 +321,91 @@ def align(page: Node, reference: Node) -> dict[int, Node]:
     return match
 
 
-def _slots(root: Node, reference: Node | None, found) -> list[str | None]:
-    """For each found block the reference's node number and the block's number in it, or None."""
-    if reference is None:
-        return [None] * len(found)
-    numbers, todo = {}, [reference]
+class Reference:
+    """A reference page: its tree, numbered in page order, and where each element's subtree ends."""
+
+    def __init__(self, text: str):
+        self.root = from_skeleton(text)
+        self.number, self.end, todo = {}, {}, [(self.root, False)]
+        while todo:
+            n, left = todo.pop()
+            if left:
+                self.end[self.number[id(n)]] = len(self.number)
+                continue
+            self.number[id(n)] = len(self.number)
+            todo.append((n, True))
+            todo += [(c, False) for c in reversed(_elements(n))]
+
+    def places(self, page: Node) -> dict[int, int]:
+        """id() of page elements to the numbers of the reference's elements that they match."""
+        return {k: self.number[id(n)] for k, n in align(page, self.root).items()}
+
+    def regions(self, varying: list[tuple[int, int]], total: int) -> list[int]:
+        """The content among varying slots (number, characters of text other than links), or none if they do not decide."""
+        outer, end = [], 0
+        for k, plain in sorted(varying):
+            if k >= end:
+                outer.append((k, plain))
+                end = self.end.get(k, k + 1)
+        most = max((plain for _, plain in outer), default=0)
+        kept = [(k, plain) for k, plain in outer if plain and plain >= REGION * most]
+        return [k for k, _ in kept] if kept and kept[0][0] and sum(plain for _, plain in kept) >= DECISIVE * total else []
+
+
+def _slots(places: dict[int, int], found) -> list[str | None]:
+    """For each found block its element's place in the reference and its number among that element's blocks, or None."""
+    seen, out = {}, []
+    for node, _ in found:
+        k = places.get(id(node))
+        if k is not None:
+            seen[k] = seen.get(k, 0) + 1
+        out.append(None if k is None else f"{k}.{seen[k]}")
+    return out
+
+
+def _label(node: Node) -> str:
+    """An element's name with those of its classes that have no digits."""
+    return ".".join([node.name, *sorted({w for k, *v in _ATTR.findall(node.attrs or "") if k.lower() == "class" for w in "".join(v).split() if not re.search("[0-9]", w)})])
+
+
+def _repeats(root: Node, places: dict[int, int]) -> list[tuple[int, str, int]]:
+    """(place, repeated kinds of children with their numbers, characters of text other than links) of the page's whole, and
+    of the elements that have repeated children."""
+    order, todo = [], [root]
     while todo:
         n = todo.pop()
-        numbers[id(n)] = len(numbers)
-        todo += reversed(_elements(n))
-    match, seen, out = align(root, reference), {}, []
-    for node, _ in found:
-        hit = match.get(id(node))
-        if hit is None:
-            out.append(None)
+        order.append(n)
+        todo += _elements(n)
+    plain: dict[int, int] = {}
+    out = []
+    for n in reversed(order):
+        plain[id(n)] = sum(len(c.strip()) if isinstance(c, str) else 0 if c.name == "a" else plain[id(c)] for c in n.children)
+        kinds: dict[str, int] = {}
+        if len(n.children) > 1 or n is root:
+            for c in _elements(n):
+                kinds[_label(c)] = kinds.get(_label(c), 0) + 1
+            kinds = {k: v for k, v in kinds.items() if v > 1}
+        if n is root or kinds and id(n) in places:
+            out.append((places.get(id(n), 0), ",".join(f"{k}={v}" for k, v in sorted(kinds.items())), plain[id(n)]))
+    return out
+
+
+def _tops(root: Node, places: dict[int, int], regions: set[int], marks: bool) -> list[Node]:
+    """The page's elements at the regions, or the article or main part around them, in page order; with marks none in
+    elements that are never part of an article."""
+    out, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        if marks and n is not root and (n.name in DROPPED or _marked(n)):
+            continue
+        if places.get(id(n)) in regions:
+            up = n
+            while marks and up is not None and up.name not in ("article", "main"):
+                up = up.parent
+            if (up or n) not in out:
+                out.append(up or n)
         else:
-            k = numbers[id(hit)]
-            seen[k] = seen.get(k, 0) + 1
-            out.append(f"{k}.{seen[k]}")
+            todo += reversed(_elements(n))
     return out
 
 
@@ -340,7 +419,7 @@ class _References(dict):
     def __missing__(self, text):
         if len(self) > 256:
             self.clear()
-        self[text] = from_skeleton(text) if text else None
+        self[text] = Reference(text)
         return self[text]
 
 
@@ -348,48 +427,59 @@ def host(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
 
 
-def layout(root: Node) -> str:
-    """A hash of the block elements, four levels deep and down to articles, with their class names; "" without any text."""
-    if not blocks(root):
+def _has_text(root: Node) -> bool:
+    todo = [root]
+    while todo:
+        for c in todo.pop().children:
+            if isinstance(c, str):
+                if not c.isspace():
+                    return True
+            elif c.name != "head":
+                todo.append(c)
+    return False
+
+
+def layout(root: Node, marks: bool = True) -> str:
+    """A hash of the block elements, four levels deep and down to articles (without marks three), with their class names; "" without any text."""
+    if not _has_text(root):
         return ""
     paths, todo = set(), [(root, "", 0)]
     while todo:
         node, path, depth = todo.pop()
         for c in _elements(node):
-            if c.name in BLOCK and c.name not in DROPPED:
-                names = () if c.name in ("html", "body", "article") else sorted({w for k, *v in _ATTR.findall(c.attrs or "") if k.lower() == "class" for w in "".join(v).split() if not re.search("[0-9]", w)})
-                own = f"{path}/{'.'.join((c.name, *names))}"
+            if c.name in BLOCK and not (marks and c.name in DROPPED):
+                own = f"{path}/{c.name if c.name in ('html', 'body', 'article') else _label(c)}"
                 paths.add(own)
-                if depth < 3 and c.name not in ("article", "head"):
+                if depth < (3 if marks else 2) and c.name != "head" and not (marks and c.name == "article"):
                     todo.append((c, own, depth + 1))
     return _hash("\n".join(sorted(paths)))
 
 
-def _with_layout(pages: DataFrame) -> DataFrame:
+def _with_layout(pages: DataFrame, marks: bool) -> DataFrame:
     """pages with _layout; null and empty pages have the layout of no text."""
     schema = T.StructType([*pages.schema.fields, T.StructField("_layout", T.StringType())])
     at = pages.columns.index("_html")
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([layout(parse(h)) if h else "" for h in b.column(at).to_pylist()], pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([layout(parse(h), marks) if h else "" for h in b.column(at).to_pylist()], pa.string())], names=schema.names)
 
     return pages.mapInArrow(run, schema)
 
 
-def _references(pages: DataFrame, id_col: str) -> DataFrame:
+def _references(pages: DataFrame, id_col: str, marks: bool) -> DataFrame:
     """_host, _layout, _group, _ref: for each layout of a host of MIN_PAGES pages at least the group whose reference it
     is aligned with, and its skeleton, that of the group's page with the smallest id."""
     w = Window.partitionBy("_host")
     first = Window.partitionBy("_host").orderBy((F.col("_layout") == ""), F.desc("_n"), F.desc("_size"), F.col("_id").asc_nulls_last(), "_layout")
-    seen = _with_layout(pages.where(F.col("_html").isNotNull())).groupBy("_host", "_layout").agg(F.count(F.lit(1)).alias("_n"), F.max(F.length("_html")).alias("_size"), F.min(id_col).alias("_id"))
+    seen = _with_layout(pages.where(F.col("_html").isNotNull()), marks).groupBy("_host", "_layout").agg(F.count(F.lit(1)).alias("_n"), F.max(F.length("_html")).alias("_size"), F.min(id_col).alias("_id"))
     seen = seen.withColumns({"_all": F.sum("_n").over(w), "_main": F.first("_layout").over(first)}).where(f"_all >= {MIN_PAGES}")
     group = F.when((F.col("_n") >= MIN_PAGES) & (F.col("_layout") != ""), F.col("_layout")).otherwise(F.col("_main"))
     layouts = cut(seen.select("_host", "_layout", group.alias("_group"), "_id"), "layouts")
     wanted = layouts.where("_layout = _group and _layout <> ''").select("_host", "_layout", F.col("_id").alias(id_col))
     small = F.broadcast if layouts.count() <= BROADCAST_HOSTS else (lambda d: d)
     # the id alone narrows the pages before their layouts are found again
-    chosen = _with_layout(pages.where(F.col("_html").isNotNull()).join(small(wanted.select("_host", id_col).distinct()), ["_host", id_col], "left_semi")).join(small(wanted), ["_host", "_layout", id_col], "left_semi").select("_host", "_layout", "_html")
+    chosen = _with_layout(pages.where(F.col("_html").isNotNull()).join(small(wanted.select("_host", id_col).distinct()), ["_host", id_col], "left_semi"), marks).join(small(wanted), ["_host", "_layout", id_col], "left_semi").select("_host", "_layout", "_html")
     schema = T.StructType([T.StructField("_host", T.StringType()), T.StructField("_group", T.StringType()), T.StructField("_ref", T.StringType())])
 
     def run(batches):
@@ -400,51 +490,82 @@ def _references(pages: DataFrame, id_col: str) -> DataFrame:
     return layouts.select("_host", "_layout", "_group").join(skeletons, ["_host", "_group"])
 
 
-def _template(pages: DataFrame, references: DataFrame) -> DataFrame:
-    """_host, _group, _constant: the (slot:text hash) entries that are template, for layouts that have any."""
-    schema = T.StructType([T.StructField("_host", T.StringType()), T.StructField("_group", T.StringType()), T.StructField("digest", T.StringType()), T.StructField("entries", T.ArrayType(T.StringType()))])
+def _looked_up(pages: DataFrame, known: DataFrame, columns: list[str], marks: bool):
+    """(pages with what a worker needs to find the row of known for a page, and the function that finds it there).
+
+    known, by _host and _layout, goes to the workers as a whole if its texts are small, and a page's layout is found where
+    the page is parsed anyway; beyond that the rows are joined."""
+    size = known.agg(F.coalesce(F.sum(F.length("_host") + sum((F.length(F.to_json(F.struct(c))) for c in columns), F.lit(64))), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        rows = {(r["_host"], r["_layout"]): tuple(r[c] for c in columns) for r in known.select("_host", "_layout", *columns).toLocalIterator()}
+        shared = pages.sparkSession.sparkContext.broadcast(rows)
+        none = (None,) * len(columns)
+        return pages, lambda root, batch, i: shared.value.get((batch.column("_host")[i].as_py(), layout(root, marks)), none)
+    joined = _with_layout(pages, marks).join(known, ["_host", "_layout"], "left").select(*pages.columns, *columns)
+    return joined, lambda root, batch, i: tuple(batch.column(c)[i].as_py() for c in columns)
+
+
+def _template(pages: DataFrame, references: DataFrame, marks: bool) -> DataFrame:
+    """_host, _group, _constant (the place:text hash entries that are template), _varying (the places of varying slots and
+    the text in them) and _total (all text)."""
+    schema = T.StructType([T.StructField("_host", T.StringType()), T.StructField("_group", T.StringType()), T.StructField("digest", T.StringType()), T.StructField("entries", T.ArrayType(T.StringType())), T.StructField("repeats", T.ArrayType(T.StringType()))])
+    rows, find = _looked_up(pages.where(F.col("_html").isNotNull()).select("_host", "_html"), references, ["_group", "_ref"], marks)
 
     def run(batches):
         known = _References()
         for b in batches:
-            digests, entries = [], []
-            for page, ref in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            hosts, groups, digests, entries, repeats = [], [], [], [], []
+            for i, page in enumerate(b.column("_html").to_pylist()):
                 root = parse(page)
-                found = blocks(root)
+                group, ref = find(root, b, i)
+                if ref is None:
+                    continue
+                found, places = blocks(root, None, marks), known[ref].places(root)
+                hosts.append(b.column("_host")[i].as_py())
+                groups.append(group)
                 digests.append(_hash("\n\n".join(t for _, t in found)))
-                entries.append(sorted({f"{s}:{_hash(t)}" for s, (_, t) in zip(_slots(root, known[ref], found), found, strict=True) if s}))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests, pa.string()), pa.array(entries, pa.list_(pa.string()))], names=schema.names)
+                entries.append(sorted({f"{s}:{_hash(t)}" for s, (_, t) in zip(_slots(places, found), found, strict=True) if s}))
+                repeats.append([f"{k}:{plain}:{_hash(kinds) if kinds else ''}" for k, kinds, plain in _repeats(root, places)])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(groups, pa.string()), pa.array(digests, pa.string()), pa.array(entries, pa.list_(pa.string())), pa.array(repeats, pa.list_(pa.string()))], names=schema.names)
 
     key = ["_host", "_group"]
-    seen = pages.where(F.col("_html").isNotNull()).join(references, ["_host", "_layout"]).select("_host", "_group", "_html", "_ref").mapInArrow(run, schema)
-    seen = cut(seen.groupBy(*key, "digest").agg(F.first("entries").alias("entries")), "entries")  # equal articles count once
-    totals = seen.groupBy(*key).agg(F.count(F.lit(1)).alias("total")).where(f"total >= {MIN_PAGES}").select(*key)
+    seen = cut(rows.mapInArrow(run, schema).groupBy(*key, "digest").agg(F.first("entries").alias("entries"), F.first("repeats").alias("repeats")), "entries")  # equal articles count once
+    totals = seen.groupBy(*key).agg(F.count(F.lit(1)).alias("total")).where(f"total >= {MIN_PAGES}")
     counts = seen.select(*key, F.explode("entries").alias("entry")).groupBy(*key, "entry").agg(F.count(F.lit(1)).alias("n")).withColumn("slot", F.substring_index("entry", ":", 1))
     slots = counts.groupBy(*key, "slot").agg(F.sum("n").alias("pages"))  # a page has one text in a slot
     const = counts.join(totals, key, "left_semi").join(slots, [*key, "slot"]).where(F.col("n") >= CONSTANT * F.greatest("pages", F.lit(MIN_PAGES)))
-    return const.groupBy(*key).agg(F.array_sort(F.collect_list("entry")).alias("_constant"))
+    const = const.groupBy(*key).agg(F.array_sort(F.collect_list("entry")).alias("_constant"))
+    part = F.split("r", ":")
+    kinds = seen.select(*key, F.explode("repeats").alias("r")).groupBy(*key, part[0].cast("int").alias("place"), part[2].alias("kinds")).agg(F.count(F.lit(1)).alias("n"), F.sum(part[1].cast("long")).alias("plain"))
+    # pages without an entry for a place have no repeated children there
+    per = kinds.groupBy(*key, "place").agg(F.max(F.when(F.col("kinds") != "", F.col("n"))).alias("most"), F.sum(F.when(F.col("kinds") != "", F.col("n"))).alias("some"), F.sum("plain").alias("plain")).join(totals, key)
+    per = per.withColumn("varies", F.coalesce(F.greatest("most", F.col("total") - F.col("some")) < CONSTANT * F.col("total"), F.lit(False)))
+    varying = per.groupBy(*key).agg(F.max(F.when(F.col("place") == 0, F.col("plain"))).alias("_total"), F.array_sort(F.collect_list(F.when(F.col("varies"), F.struct("place", "plain")))).alias("_varying"))
+    return varying.join(const, key, "left")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", marks: bool = True) -> DataFrame:
     """One row per page: id, url, text (blocks joined by empty lines), n_chars."""
     plain = pages.select(F.col(id_col), F.col(url_col), host(url_col).alias("_host"), F.col(html_col).cast("string").alias("_html"))
-    references, rows = cut(_references(plain, id_col), "references"), _with_layout(plain)
-    size = references.agg(F.coalesce(F.sum(F.length("_ref")), F.lit(0))).first()[0]
-    small = F.broadcast if size <= BROADCAST_BYTES else (lambda d: d)
-    template = cut(_template(rows, small(references)), "template").join(references, ["_host", "_group"])  # at most 1 / CONSTANT entries a slot of the reference
+    references = cut(_references(plain, id_col, marks), "references")
+    template = cut(_template(plain, references, marks).join(references, ["_host", "_group"]), "template")  # at most 1 / CONSTANT entries a slot of the reference
+    rows, find = _looked_up(plain, template, ["_ref", "_constant", "_varying", "_total"], marks)
     schema = T.StructType([*(rows.schema[c] for c in (id_col, url_col)), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
         known = _References()
         for b in batches:
             texts = []
-            for page, ref, constant in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            for i, page in enumerate(b.column("_html").to_pylist()):
                 root = parse(page or "")
-                found = blocks(root)
+                ref, constant, varying, total = find(root, b, i)
+                regions = set(known[ref].regions([tuple(v.values()) if isinstance(v, dict) else tuple(v) for v in varying or ()], total or 0)) if ref else set()
+                places = known[ref].places(root) if constant or regions else {}
+                found = blocks(root, _tops(root, places, regions, marks), marks)
                 if constant:
                     drop = set(constant)
-                    found = [f for s, f in zip(_slots(root, known[ref], found), found, strict=True) if not s or f"{s}:{_hash(f[1])}" not in drop]
+                    found = [f for s, f in zip(_slots(places, found), found, strict=True) if not s or f"{s}:{_hash(f[1])}" not in drop]
                 texts.append("\n\n".join(t for _, t in found))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return rows.join(small(template), ["_host", "_layout"], "left").select(id_col, url_col, "_html", "_ref", "_constant").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

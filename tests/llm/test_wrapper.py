@@ -118,3 +118,60 @@ def test_odd_rows(spark):
     got = W.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted(r["n_chars"] for r in got) == [0, 0, 0, 399_999]
     assert W.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables")
+def test_induction_without_marks(spark):
+    """With neither element names nor words to go by, induction finds the article of the hosts' pages and nothing else."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    kept = lost = left = away = 0
+    for r in W.extract(pages, marks=False).join(pages.select("page_id", "html"), "page_id").collect():
+        body = re.search(r"(?s)<article>(.*?)</article>", r["html"]).group(1)
+        parts = (re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", " ", p))).strip() for p in re.split(r"</?(?:p|h1)>", body))
+        want, got = {p for p in parts if p}, set(r["text"].split("\n\n"))
+        around = {t for _, t in W.blocks(W.parse(r["html"]), None, False)} - want
+        kept, lost, left, away = kept + len(want & got), lost + len(want - got), left + len(around & got), away + len(around - got)
+    assert kept > 20_000 and lost <= 0.01 * kept and away > 15_000 and left <= 0.01 * away
+
+
+def test_varying_slots_are_content(spark):
+    """A frame whose words differ on every page, a list of links of any length, and the text, none of them marked."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows, want = [], {}
+    for i in range(40):
+        texts = [" ".join(word() for _ in range(20)) for _ in range(rng.randint(1, 7))]
+        links = "".join(f"<li><a href=x>{word()}</a></li>" for _ in range(rng.randint(1, 5)))
+        rows.append((i, "http://h/x", f"<html><body><div><p>{word()} {word()}</p></div><div class=l><ul>{links}</ul></div><div class=t>{''.join(f'<p>{t}</p>' for t in texts)}</div><div class=e><p>{word()}</p></div></body></html>"))
+        want[i] = "\n\n".join(texts)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for marks in (False, True):
+        assert {r["page_id"]: r["text"] for r in W.extract(pages, marks=marks).collect()} == want
+
+
+def test_large_references_are_joined(spark, monkeypatch):
+    """Beyond the bound of what is broadcast the rows are joined, with the same result."""
+    page = lambda i: f"<html><body><div><p>Our house rules apply.</p><p>Text {i} is {i * 7}.</p></div></body></html>"
+    pages = spark.createDataFrame([(i, "http://h/x", page(i)) for i in range(12)], "page_id long, url string, html string")
+    want = sorted(map(tuple, W.extract(pages).collect()))
+    monkeypatch.setattr(W, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, W.extract(pages).collect())) == want and want[1][2] == "Text 1 is 7."
+
+
+def test_regions_decide_only_with_most_of_the_text():
+    reference = W.Reference("html(body(div()ul(li()li())div(p()p())))")
+    number = {n.name + str(k): k for n, k in ((reference_node(reference, k), k) for k in range(9))}
+    ul, div = 3, 6
+    assert reference.regions([(ul, 10), (div, 900)], 1000) == [div]
+    assert reference.regions([(ul, 400), (div, 500)], 1000) == [ul, div]
+    assert reference.regions([(ul, 100)], 1000) == [] and reference.regions([], 10) == [] and reference.regions([(0, 10)], 10) == []
+    assert reference.regions([(1, 900), (div, 900)], 1000) == [1] and number["ul3"] == ul
+
+
+def reference_node(reference, number):
+    todo = [reference.root]
+    while todo:
+        n = todo.pop()
+        if reference.number[id(n)] == number:
+            return n
+        todo += W._elements(n)
