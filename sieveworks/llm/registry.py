@@ -14,12 +14,20 @@ def op1_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after one batch that inserts all documents, and a second try of the same batch, which changes nothing."""
-    docs = table(spark, sf_dir, "documents")
-    changes = docs.select(F.lit("insert").alias("op"), "doc_id", "source", "lang", "text")
+    """Totals of all documents after four batches: all are inserted, a quarter of them as half of their text; that quarter
+    is revised to its whole text and another one deleted; what was deleted comes back; and the second batch comes again,
+    which changes nothing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    part = F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(4)))
+    is_old, goes = F.coalesce(part == 0, F.lit(False)), F.coalesce(part == 1, F.lit(False))
+    as_op = lambda op, rows: rows.select(F.lit(op).alias("op"), "doc_id", "source", "lang", "text")
     rollup = token_rollup.TokenRollup(spark)
-    rollup.commit("documents", changes)
-    rollup.commit("documents", changes)
+    rollup.commit("load", as_op("insert", docs.withColumn("text", F.when(is_old, F.expr("substring(text, 1, length(text) div 2)")).otherwise(F.col("text")))))
+    changes = as_op("revise", docs.where(is_old)).unionByName(as_op("delete", docs.where(goes)))
+    rollup.commit("changes", changes)
+    rollup.compact()
+    rollup.commit("back", as_op("insert", docs.where(goes)))
+    rollup.commit("changes", changes)
     return rollup.totals()
 
 

@@ -1,9 +1,11 @@
 """Token counts as delta-maintained rollups.
 
 Totals by source, language and tokenizer version are sums of signed deltas. A batch of changes (insert, revise, delete)
-is counted once, compared with the ledger of what each document counted before, and committed by renaming its finished
-folder into place: a batch id that is there already is not applied again, and a batch that died half-way leaves only a
-folder that no reader looks at. Documents and deltas are never rewritten; compact() folds old deltas into one.
+is counted once, compared with the ledger of what each document counted before, and committed by renaming one entry of a
+log into place under the next number, which fails if another writer has taken it; the comparison is then made anew. A
+batch id that is in the log is not applied again, and a batch that died half-way leaves only a folder that no entry names.
+Documents and deltas are never rewritten; compact() writes the ledger and the totals of all entries so far as one, so that
+later commits read that and what came after it.
 
 Defined results: null texts count 0 tokens; null source or language is a group of its own; of several changes of one
 document in one batch, that with the largest seq counts (among equals, the one with the most tokens); inserting a known
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sieveworks.llm.common import new_path
+from sieveworks.llm.common import drop_path, new_path
 
 #: Where the public vocabularies are; a parameter everywhere.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -73,55 +75,122 @@ class TokenRollup:
 
     def __init__(self, spark: SparkSession, root: str | None = None, tokenizer: str = "byte_bpe_50k", vocabulary: str = VOCABULARY):
         self.spark, self.root, self.tokenizer, self.vocabulary = spark, root or new_path(spark, "tokens"), tokenizer, vocabulary
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._java = spark.sparkContext._jvm
+        self._path = self._java.org.apache.hadoop.fs.Path
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.root).getFileSystem(self._conf)
+
+    def _names(self) -> list[str]:
+        """The names of the log's entries in their order: number, folder, kind and batch id."""
+        at = self._path(f"{self.root}/log")
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(at) if x.getPath().getName()[0].isdigit()) if self._fs.exists(at) else []
+
+    def _entries(self) -> list[tuple[int, str, str, str]]:
+        """(number, folder, kind, batch id) of each entry; kind is batch or base."""
+        out = []
+        for name in self._names():
+            stream = self._fs.open(self._path(f"{self.root}/log/{name}"))
+            try:
+                size = stream.available()
+                text = bytes(b & 255 for b in stream.readNBytes(size)).decode()
+            finally:
+                stream.close()
+            out.append((int(name), *text.split("\n", 2)))
+        return out
+
+    def _publish(self, number: int, folder: str, kind: str, batch_id: str) -> bool:
+        """Takes a number of the log for a folder that is complete; False if it is taken."""
+        draft = self._path(f"{self.root}/log/_{uuid.uuid4().hex}")
+        stream = self._fs.create(draft, False)
+        try:
+            stream.write(bytearray(f"{folder}\n{kind}\n{batch_id}".encode()))
+        finally:
+            stream.close()
+        files = self._java.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri() if draft.toUri().getScheme() else self._fs.getUri(), self._conf)
+        rename = self._java.org.apache.hadoop.fs.Options.Rename
+        plainly = self.spark.sparkContext._gateway.new_array(rename, 1)
+        plainly[0] = rename.NONE  # an entry that is there is never replaced
+        try:
+            files.rename(draft, self._path(f"{self.root}/log/{number:08d}"), plainly)
+        except Exception as e:  # noqa: BLE001  the JVM's own class, wrapped
+            if "FileAlreadyExists" not in str(e):
+                raise
+            self._fs.delete(draft, False)
+            return False
+        return True
+
+    @staticmethod
+    def _current(entries):
+        """The last base, if there is one, and what came after it."""
+        at = max((i for i, e in enumerate(entries) if e[2] == "base"), default=0)
+        return entries[at:]
 
     def batches(self) -> list[str]:
         """The committed batch ids in the order of their commit."""
-        at = self._path(f"{self.root}/batches")
-        if not self._fs.exists(at):
-            return []
-        return sorted(x.getPath().getName() for x in self._fs.listStatus(at) if not x.getPath().getName().startswith("_"))
-
-    def _names(self) -> set[str]:
-        return {x.split("-", 1)[1] for x in self.batches()}
-
-    def ledger(self) -> DataFrame | None:
-        """What each named document counts now, by tokenizer version."""
-        if not (got := self.batches()):
+        return [e[3] for e in self._entries() if e[2] == "batch"]
+
+    def _ledger(self, entries) -> DataFrame | None:
+        rows = None
+        for number, folder, _, _ in self._current(entries):
+            part = self.spark.read.parquet(f"{self.root}/data/{folder}/ledger").where("doc_id is not null").withColumn("batch_no", F.lit(number))
+            rows = part if rows is None else rows.unionByName(part)
+        if rows is None:
             return None
-        rows = self.spark.read.parquet(*(f"{self.root}/batches/{b}/ledger" for b in got)).where("doc_id is not null")
         last = rows.groupBy("doc_id", "tokenizer").agg(F.max_by(F.struct("source", "lang", "live", "n_tokens", "n_chars"), "batch_no").alias("now"))
         return last.select("doc_id", "tokenizer", "now.*").where("live")
 
+    def ledger(self) -> DataFrame | None:
+        """What each named document counts now, by tokenizer version."""
+        return self._ledger(self._entries())
+
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Applies one batch; False if it was there already. changes: op, doc_id, source, lang, text and optionally seq."""
-        if batch_id in self._names():
+        if batch_id in self.batches():
             return False
-        number = len(self.batches())
-        staging = f"{self.root}/batches/_{uuid.uuid4().hex}"
+        folder = uuid.uuid4().hex
         if "seq" not in changes.columns:
             changes = changes.withColumn("seq", F.lit(0).cast("long"))
         new = lambda rows: counted(changes.where(rows), self.tokenizer, self.vocabulary)  # noqa: E731  filtered before, so that each text is counted once
         value = F.struct("seq", "n_tokens", "n_chars", "op", "source", "lang")
         named = new("doc_id is not null").groupBy("doc_id", "tokenizer").agg(F.max(value).alias("v"))
         plain = new("doc_id is null and op != 'delete'").select("doc_id", "tokenizer", value.alias("v"))
-        rows = named.unionByName(plain).select("doc_id", "tokenizer", "v.source", "v.lang", (F.col("v.op") != "delete").alias("live"), "v.n_tokens", "v.n_chars", F.lit(number).alias("batch_no"))
-        rows.write.parquet(f"{staging}/ledger")
-        added = self.spark.read.parquet(f"{staging}/ledger")
-        signed = added.where("live").select(*KEYS, F.lit(1).alias("sign"), "n_tokens", "n_chars")
-        if (before := self.ledger()) is not None:
-            gone = before.join(added.where("doc_id is not null").select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi")
-            signed = signed.unionByName(gone.select(*KEYS, F.lit(-1).alias("sign"), "n_tokens", "n_chars"))
-        delta = signed.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("n_docs"), *(F.sum(F.col("sign") * F.col(c)).cast("long").alias(c) for c in TOTALS[1:]))
-        delta.write.parquet(f"{staging}/delta")
-        # renaming within one file system is the commit; the number in the name keeps the order
-        return bool(self._fs.rename(self._path(staging), self._path(f"{self.root}/batches/{number:08d}-{batch_id}")))
+        rows = named.unionByName(plain).select("doc_id", "tokenizer", "v.source", "v.lang", (F.col("v.op") != "delete").alias("live"), "v.n_tokens", "v.n_chars")
+        rows.write.parquet(f"{self.root}/data/{folder}/ledger")
+        added = self.spark.read.parquet(f"{self.root}/data/{folder}/ledger")
+        while True:
+            entries = self._entries()
+            if batch_id in {e[3] for e in entries if e[2] == "batch"}:  # another writer was faster
+                drop_path(self.spark, f"{self.root}/data/{folder}")
+                return False
+            signed = added.where("live").select(*KEYS, F.lit(1).alias("sign"), "n_tokens", "n_chars")
+            if (before := self._ledger(entries)) is not None:
+                gone = before.join(added.where("doc_id is not null").select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi")
+                signed = signed.unionByName(gone.select(*KEYS, F.lit(-1).alias("sign"), "n_tokens", "n_chars"))
+            delta = signed.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("n_docs"), *(F.sum(F.col("sign") * F.col(c)).cast("long").alias(c) for c in TOTALS[1:]))
+            delta.write.mode("overwrite").parquet(f"{self.root}/data/{folder}/delta")
+            if self._publish(len(entries), folder, "batch", batch_id):
+                return True
+
+    def compact(self) -> bool:
+        """Writes the ledger and the totals of all entries as one; False if there are none or another writer came between."""
+        entries = self._entries()
+        if len(self._current(entries)) < 2:
+            return False
+        folder = uuid.uuid4().hex
+        self._ledger(entries).withColumn("live", F.lit(True)).write.parquet(f"{self.root}/data/{folder}/ledger")
+        self._totals(entries).write.parquet(f"{self.root}/data/{folder}/delta")
+        if self._publish(len(entries), folder, "base", ""):
+            return True
+        drop_path(self.spark, f"{self.root}/data/{folder}")
+        return False
+
+    def _totals(self, entries) -> DataFrame:
+        rows = self.spark.read.parquet(*(f"{self.root}/data/{e[1]}/delta" for e in self._current(entries)))
+        return rows.groupBy(*KEYS).agg(*(F.sum(c).cast("long").alias(c) for c in TOTALS)).where("n_docs != 0")
 
     def totals(self) -> DataFrame:
-        """The current totals: the sum of all committed deltas; groups that are back at zero documents are left out."""
-        got = self.batches()
-        if not got:
+        """The current totals: the sum of the committed deltas; groups that are back at zero documents are left out."""
+        entries = self._entries()
+        if not entries:
             return self.spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs long, n_tokens long, n_chars long")
-        rows = self.spark.read.parquet(*(f"{self.root}/batches/{b}/delta" for b in got))
-        return rows.groupBy(*KEYS).agg(*(F.sum(c).cast("long").alias(c) for c in TOTALS)).where("n_docs != 0")
+        return self._totals(entries)
