@@ -5,9 +5,14 @@ text U, class prior p and logistic loss l, the risk is p E_P[l(g)] + max(0, E_U[
 part turns negative, its gradient is followed backward. Its inputs are shares of characters and words of the whole text,
 never labels, languages, sources or ids.
 
-The sample to learn from is bounded: at most POSITIVES positives and UNLABELLED unlabelled texts, chosen by a hash of
-their ids among rows outside the held-out fold. The class prior is the share of positives among the labelled rows outside
-it, brought to the unlabelled texts by their inputs' means only through the risk.
+The class prior is estimated from positives and unlabelled texts alone, as labelled negatives need not look like the web:
+a first network tells half of the positives from the unlabelled sample, and of all thresholds of its score that one gives
+the estimate, as the share of unlabelled texts above it by that of the other half of the positives, whose upper
+confidence bound is the lowest (best bin estimation); half the width of the bound is taken off. That share is counted over all unlabelled texts.
+
+The sample that the networks are fitted to is bounded: at most POSITIVES positives and UNLABELLED unlabelled texts, chosen
+by a hash of their ids among rows outside the held-out fold. The risk's second part is a mean over unlabelled texts, which a
+sample of that size gives to about a hundredth; steps over all texts would need a pass over the corpus each.
 
 Defined results: null texts are scored like empty ones; an empty table or one without positives gives score 0.5 to all;
 of several labels of one id the largest counts; null ids have no label and count as the empty text in the folds; rows
@@ -28,6 +33,8 @@ from sieveworks.llm.kernels import buffers, text_ngrams, word_hashes
 POSITIVES, UNLABELLED = 8000, 8000
 THRESHOLD = 0.3
 HIDDEN, STEPS, BATCH, RATE, DECAY = 16, 1500, 512, 0.01, 1e-3
+#: Bins of a score in which texts are counted to estimate the prior.
+BINS = 512
 
 _GROUPS = [b"!", b"#$%&*", b"|", b"0123456789", b".", b",", b"\n", b" ", b"<>{}[]=;_/\\", b"?:\"'()-", bytes(range(128, 256))]
 _UPPER, _LOWER = slice(65, 91), slice(97, 123)
@@ -87,17 +94,19 @@ class PUNet:
         d = weight[:, None] * self.p["B"] * (1 - h * h)
         return {"A": x.T @ d, "a": d.sum(0), "B": h.T @ weight, "b": np.array([weight.sum()])}
 
-    def fit(self, positives, unlabelled, prior, seed: int = 1):
-        """Adam on the non-negative risk."""
+    def fit(self, positives, unlabelled, prior=None, seed: int = 1):
+        """Adam on the non-negative risk; without a prior on telling positives from unlabelled rows."""
         rng, xp_all, xu_all = np.random.default_rng(seed), self.inputs(positives), self.inputs(unlabelled)
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
         for i in range(1, STEPS + 1):
             xp, xu = xp_all[rng.integers(0, len(xp_all), BATCH)], xu_all[rng.integers(0, len(xu_all), BATCH)]
             gp, gu = self.margin(xp), self.margin(xu)
             sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            up, uu = prior * (sp - 1) / BATCH, su / BATCH
-            if negative >= 0:
+            negative = 0 if prior is None else np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+            up, uu = (1 if prior is None else prior) * (sp - 1) / BATCH, su / BATCH
+            if prior is None:
+                g = self._gradient(np.concatenate([xp, xu]), np.concatenate([up, uu]))
+            elif negative >= 0:
                 g = self._gradient(np.concatenate([xp, xu]), np.concatenate([up - prior * sp / BATCH, uu]))
             else:  # the negative part has gone below zero: backward along it
                 g = self._gradient(np.concatenate([xp, xu]), np.concatenate([prior * sp / BATCH, -uu]))
@@ -122,15 +131,58 @@ def _featured(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
     return docs.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
+def best_bin(positives: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, more: float = 0.01) -> float:
+    """The class prior, less half the width of its confidence bound, from counts of positives and of unlabelled texts by bin of a score, the
+    lowest first. A prior that is too high by little leaves the risk's second part nothing to learn from, one that is too
+    low by as much does no harm."""
+    n, m = positives.sum(), unlabelled.sum()
+    above = lambda x: np.cumsum(x[::-1]) / x.sum()
+    p, u = above(positives), above(unlabelled)
+    doubt = (np.log(4 / delta) / 2) ** 0.5 * (m**-0.5 + n**-0.5)
+    some = np.flatnonzero(p > 0)
+    at = some[np.argmin((u[some] + (1 + more) * doubt) / p[some])]
+    return float(min(0.99, max(0.01, u[at] / p[at] - doubt / 2)))
+
+
+def _histogram(rows: DataFrame, net, text_col: str) -> np.ndarray:
+    """How many texts have a score in each of BINS bins; counted by the workers."""
+    shared = rows.sparkSession.sparkContext.broadcast(net)
+    schema = T.StructType([T.StructField("bin", T.IntegerType()), T.StructField("n", T.LongType())])
+
+    def run(batches):
+        total = np.zeros(BINS, np.int64)
+        for b in batches:
+            total += _bins(shared.value.scores(features(b.column(0))))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=schema.names)
+
+    out = np.zeros(BINS, np.int64)
+    for r in rows.select(F.col(text_col).cast("string")).mapInArrow(run, schema).groupBy("bin").agg(F.sum("n")).collect():  # at most BINS rows
+        out[r[0]] = r[1]
+    return out
+
+
+def _bins(scores: np.ndarray) -> np.ndarray:
+    return np.bincount(np.minimum(BINS - 1, (scores * BINS).astype(int)), minlength=BINS)
+
+
+def estimated_prior(positives: np.ndarray, unlabelled: np.ndarray, counts, start) -> float:
+    """The class prior; counts gives all unlabelled texts by bin of a network's score, start makes a network."""
+    half = np.arange(len(positives)) % 2 == 0
+    if half.all():
+        return 0.5
+    first = start().fit(positives[half], unlabelled)
+    return best_bin(_bins(first.scores(positives[~half])), counts(first))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, positives: int = POSITIVES, unlabelled: int = UNLABELLED):
     """The network, or None without positives."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(id_col, folds) != 0)).groupBy(id_col).agg(F.max(label_col).alias("_y"))
-    n, ones = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("_y") == 1, 1)), F.lit(0))).first()
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(id_col, folds) != 0)).groupBy(id_col).agg(F.max(label_col).alias("_y")).where("_y = 1")
+    ones = known.count()
     if not ones:
         return None
-    prior = min(0.99, max(0.01, ones / n))
     key = F.col(id_col).cast("string")
-    trusted = hash_sample(known.where("_y = 1"), key, ones, positives, "trusted").select(F.col(id_col), F.lit(True).alias("_p"))  # bounded: safe to broadcast
+    trusted = hash_sample(known, key, ones, positives, "trusted").select(F.col(id_col), F.lit(True).alias("_p"))  # bounded: safe to broadcast
     text = docs.where(fold(id_col, folds) != 0).select(F.col(id_col), F.col(text_col))
     total = text.count()
     web = F.lit(True) if total <= unlabelled else F.pmod(F.xxhash64(F.lit("web"), F.coalesce(key, F.lit(""))), F.lit(1_000_000)) < F.lit(int(1_000_000 * unlabelled / total))
@@ -139,7 +191,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     x, p, u = np.array([r[2] for r in rows]).reshape(-1, FEATURES), np.array([r[0] for r in rows], bool), np.array([r[1] for r in rows], bool)
     if not p.any() or not u.any():
         return None
-    return PUNet(x[u].mean(0), np.maximum(x[u].std(0), 1e-3)).fit(x[p], x[u], prior)
+    start = lambda: PUNet(x[u].mean(0), np.maximum(x[u].std(0), 1e-3))
+    prior = estimated_prior(x[p], x[u], lambda net: _histogram(text, net, text_col), start)
+    net = start().fit(x[p], x[u], prior)
+    net.prior = prior
+    return net
 
 
 def _scores(net, texts) -> np.ndarray:
