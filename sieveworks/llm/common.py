@@ -64,5 +64,29 @@ def hash_sample(df: DataFrame, key, total: int, bound: int, salt: str) -> DataFr
     return df.where(F.pmod(F.xxhash64(F.lit(salt), key), F.lit(1_000_000)) < F.lit(int(1_000_000 * bound / total)))
 
 
-def shuffle_width(spark: SparkSession, least: int = 1) -> int:
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Keys that are looked up by broadcast because many rows have them: at most this many, each with its share of the rows.
+HOT_KEYS, LEAST_HOT = 1000, 64
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
+    """left with the other columns of right (one row per key, a string) where the key is equal, else nulls.
+
+    Keys that more than one in HOT_KEYS of left's rows have are broadcast, at most HOT_KEYS rows, and their rows, like
+    those without a key, are dealt by themselves, so that no key's rows meet in one task. left is read twice."""
+    values = [c for c in right.columns if c != key]
+    if hot is None:
+        counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        hot = counts.where(F.col("_n") > max(LEAST_HOT, left.count() // HOT_KEYS)).select(key)
+    known = cut(right.join(F.broadcast(hot), key, "left_semi").select(F.col(key), F.struct(*values).alias("_hot")), "hot")
+    rows = left.join(F.broadcast(known), key, "left")
+    alone = F.col("_hot").isNotNull() | F.col(key).isNull()
+    own = F.when(alone, F.concat(F.lit("\0"), F.xxhash64(*(F.col(f"`{c}`") for c in left.columns)).cast("string"))).otherwise(F.col(key))
+    rest = right.select(F.col(key).alias("_own"), F.struct(*values).alias("_cold"))
+    out = rows.withColumn("_own", own).join(rest, "_own", "left").withColumn("_found", F.coalesce("_hot", "_cold"))
+    return out.select(*left.columns, *(F.col("_found")[c].alias(c) for c in values))
+
+
+def broadcastable(ids: DataFrame, col: str, bound: int) -> bool:
+    """Whether the values of a column, with what a hash table of them needs, stay within bound bytes."""
+    size = ids.agg(F.coalesce(F.sum(F.length(F.col(col).cast("string")) + F.lit(40)), F.lit(0))).first()[0]
+    return size <= bound

@@ -8,7 +8,8 @@ row per capture; a revisit finds its payload's length and digest at the response
 Defined results: a null payload is empty; payloads are equal if their SHA-1 and length are; among equal ones that of the
 largest id is a response and the others revisit it, from min_revisit bytes on; rows equal in id, address and payload are
 one capture; a null id never wins against another, and captures with equal ids are told apart by address and payload;
-line ends in an address are replaced by blanks; records without a partner give captures whose other fields are null.
+line ends in an address are replaced by blanks; records without a partner give captures whose other fields are null; a
+record that names another that names a third is of the third's capture, longer chains than that are not followed.
 """
 
 from __future__ import annotations
@@ -22,8 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sieveworks.llm.common import HOT_KEYS, LEAST_HOT, broadcastable, cut, looked_up
+
 #: Captures in one file at most.
 FILE_CAPTURES = 2048
+#: Bytes of first captures of repeated payloads that may be broadcast.
+BROADCAST_FIRSTS = 32_000_000
 CRLF = "\r\n"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -55,11 +60,16 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pa
     rows = pages.select(F.col(id_col).alias("id"), F.translate(_text(F.col(url_col)), "\r\n", "  ").alias("url"), _text(F.col(payload_col)).alias("payload"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("size", F.octet_length("payload").cast("long"))
     urn = _urn(F.lit("capture"), _text(F.col("id")), F.md5("url"), F.col("digest"))
-    same = ["digest", "size"]
     # ids and digests only: payloads are not shuffled for this
-    firsts = rows.groupBy(*same).agg(F.max("id").alias("first_id"), F.max_by(F.struct(F.col("id").alias("i"), F.md5("url").alias("u")), F.struct(F.col("id").alias("i"), F.md5("url").alias("u"))).alias("w"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("size") >= min_revisit))
-    firsts = firsts.select(*same, "first_id", _urn(F.lit("capture"), _text(F.col("w.i")), F.col("w.u"), F.col("digest")).alias("first_urn"))
-    rows = rows.join(firsts, same, "left")
+    who = F.struct(F.col("id").alias("i"), F.md5("url").alias("u"))
+    firsts = rows.groupBy("digest", "size").agg(F.max_by(who, who).alias("w"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("size") >= min_revisit))
+    firsts = cut(firsts.select(F.concat_ws("/", "digest", "size").alias("copies"), F.col("w.i").alias("first_id"), _urn(F.lit("capture"), _text(F.col("w.i")), F.col("w.u"), F.col("digest")).alias("first_urn"), "n"), "firsts")
+    rows = rows.withColumn("copies", F.concat_ws("/", "digest", "size"))
+    if broadcastable(firsts, "first_urn", BROADCAST_FIRSTS):
+        rows = rows.join(F.broadcast(firsts.drop("n")), "copies", "left")
+    else:  # payloads move, but those of one page's many copies do not meet
+        hot = firsts.where(F.col("n") > max(LEAST_HOT, rows.count() // HOT_KEYS)).select("copies")
+        rows = looked_up(rows, firsts.drop("n"), "copies", hot)
     revisit = F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
     return rows.select("id", "url", "payload", "digest", "size", urn.alias("urn"), F.when(revisit, F.col("first_urn")).alias("refers"))
 
@@ -145,8 +155,9 @@ def assemble(found: DataFrame) -> DataFrame:
 
 def resolved(capture: DataFrame) -> DataFrame:
     """captures with refers (the metadata fields of the response that a revisit refers to), payload_bytes and payload_digest of the full payload."""
-    targets = capture.where("main.type <> 'revisit'").select(F.col("capture_id").alias("target"), F.col("metadata.fields").alias("r_fields"), F.col("main.payload_bytes").alias("r_bytes"), F.col("main.payload_digest").alias("r_digest"))
-    # a capture that revisits nothing looks at itself, so that those do not all meet at a null
-    joined = capture.withColumn("target", F.coalesce("main.refers_to", "capture_id")).join(targets, "target", "left")
+    # what revisits nothing has no key, and many revisits of one response do not meet
+    known = cut(capture.withColumn("target", F.when(F.col("main.type") == "revisit", F.col("main.refers_to"))), "captures")
+    targets = known.where("main.type <> 'revisit'").select(F.col("capture_id").alias("target"), F.col("metadata.fields").alias("r_fields"), F.col("main.payload_bytes").alias("r_bytes"), F.col("main.payload_digest").alias("r_digest"))
+    joined = looked_up(known, targets, "target")
     revisit = F.col("main.type") == "revisit"
     return joined.select(*capture.columns, "r_fields", F.when(revisit, F.col("r_bytes")).otherwise(F.col("main.payload_bytes")).alias("payload_bytes"), F.when(revisit, F.col("r_digest")).otherwise(F.col("main.payload_digest")).alias("payload_digest"))

@@ -51,3 +51,13 @@ def test_links_in_either_direction(spark):
 def test_base32(spark):
     row = spark.createDataFrame([("abc",), ("",)], "s string").select("s", warc.base32_sha1(F.col("s")))
     assert all(r[1] == base64.b32encode(hashlib.sha1(r[0].encode()).digest()).decode() for r in row.collect())
+
+
+def test_many_copies_without_a_broadcast(spark, tmp_path, monkeypatch):
+    rows = [(i, f"http://h/{i}", "same" if i % 2 else "alike" if i % 3 else f"own {i}") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    columns = ["id", "digest", "size", "urn", "refers", "payload"]
+    want = sorted(map(tuple, warc.captures(pages).select(columns).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_FIRSTS", 0)
+    assert sorted(map(tuple, warc.captures(pages).select(columns).collect())) == want
+    assert sum(r[4] is not None for r in want) == 100 - 1 + 66 - 1
