@@ -4,17 +4,19 @@ The shingles of five words of a text, each weighted by 1 + ln(its count), send o
 weight; each arrival falls on one of K components, which keeps the shingle whose arrival is the earliest. Two texts agree
 in a component with the probability Jaccard similarity of their weighted shingles (the common Jaccard where weights are
 equal). A shingle stops once its next arrival is later than all components' earliest. Components are grouped into bands;
-texts that share a band are candidates, and every link is verified on the whole shingle sets.
+texts that share a band are candidates, and every link is verified on the shingle sets of the whole texts, a shingle
+being 4 bytes of its hash.
 
 Equal texts (the same words in a row) are one node from the start. In a band group, one node, the pivot, is compared
 with all others; what remains between different components is compared pair by pair once it is in proportion to the
-nodes, less what the pivot's similarities rule out by the triangle inequality or the signatures
-by far too few common places, and by further pivots before. So a group of near copies costs its size, not its square, and no link that joins
-two components is left out.
+nodes, less what the pivot's similarities rule out by the triangle inequality or the signatures by far too few common
+places (DEVIATIONS, which a link at the limit falls under once in 30,000), and by further pivots before. So a group of near
+copies costs its size, not its square; of what shares a band, only a link that the signatures rule out can be left out.
 
 Defined results: words are compared in lower case; a text of one to four words is one shingle; texts without a word, and
 null texts, are copies of nothing; rows that share an id are one document; rows without an id are not compared and are
-kept; ties go to the smallest id; columns other than those named are not looked at.
+kept; ties go to the smallest id; of rows that share a kept id keep_one keeps that with the smallest text (null last),
+then with the smallest hash of all columns; columns other than those named are not looked at.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sieveworks.llm import graph
-from sieveworks.llm.common import cut
+from sieveworks.llm.common import broadcastable, cut, looked_up
 from sieveworks.llm.kernels import mix, text_ngrams, word_hashes
 
 WORDS, SIMILARITY = 5, 0.8
@@ -36,8 +38,8 @@ BANDS, ROWS = 36, 7
 K = 256
 #: Standard deviations under the expected agreement of signatures at the wanted similarity from which a pair is not compared.
 DEVIATIONS = 4.0
-#: Ids that may be broadcast to fetch texts; beyond it the join is left to the planner.
-BROADCAST_IDS = 4_000_000
+#: Bytes of ids that may be broadcast to fetch or drop texts; beyond it the join is left to the planner.
+BROADCAST_IDS = 64_000_000
 #: Bytes of shingle sets that may be broadcast to compare pairs; beyond it they are joined by shuffling.
 BROADCAST_SETS = 10_000_000
 
@@ -176,22 +178,22 @@ def _with_pivot(rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, pairs_per_node: int = 100) -> DataFrame:
     """One row per distinct id: id, component_id (the smallest id of its group), kept (id = component_id)."""
     sketch = cut(_sketch(docs, id_col, text_col), "sketch")
-    # rows that share an id are tied together like equal texts
-    classes = sketch.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"))
-    own = sketch.where("cls is not null").join(classes, "cls").select("id", "rep").distinct()
+    classes = cut(sketch.where("cls is not null").groupBy("cls").agg(F.min("id").alias("rep")), "classes")
     nodes = sketch.join(classes.select("rep").distinct(), sketch["id"] == F.col("rep"), "left_semi").select(F.col("id").alias("n"), "bands", "sig")
     rows = cut(_with_pivot(nodes.select("n", F.explode("bands").alias("key")).distinct()), "bands")
     total = classes.count()
     pairs = rows.where("n <> pivot").select(F.col("pivot").alias("a"), F.col("n").alias("b")).distinct()
-    tested = None
+    found = None
     while True:
         pairs = cut(pairs, "pairs")
         ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         ids = cut(ids.withColumnRenamed("id", id_col), "ids")
-        wanted = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, "left_semi")
+        wanted = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(ids) if broadcastable(ids, id_col, BROADCAST_IDS) else ids, id_col, "left_semi")
         now = cut(_compared(pairs, cut(_shingle_sets(wanted, id_col, text_col), "sets")), "compared")
-        tested = now if tested is None else tested.unionByName(now)
-        found = cut(graph.components(tested.where(F.col("sim") >= similarity - 1e-9), "a", "b"), "components")
+        edges = now.where(F.col("sim") >= similarity - 1e-9).select("a", "b")
+        if found is not None:  # earlier links count as those of each node to its component
+            edges = edges.unionByName(found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
+        found = cut(graph.components(edges, "a", "b"), "components")
         if rows is None:
             break
         # what is still undecided: rows other than pivots, in keys whose rows are of several components
@@ -214,9 +216,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:  # another pivot for each key
             rows = cut(_with_pivot(rest.select("key", "n")), "bands")
             pairs = rows.where("n <> pivot").select(F.col("pivot").alias("a"), F.col("n").alias("b")).distinct()
+    # classes get their component first, so that the rows of a class of many copies need not meet
     spread = found.select(F.col("node").alias("rep"), "component")
-    joined = own.join(spread, "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    out = sketch.select("id").distinct().join(joined, "id", "left").select("id", F.coalesce("component_id", "id").alias("component_id"))
+    labels = classes.join(spread, "rep", "left").select(F.hex("cls").alias("key"), F.coalesce("component", "rep").alias("component_id"))
+    own = looked_up(sketch.select("id", F.hex("cls").alias("key")), labels, "key")
+    # rows that share an id are tied together like equal texts
+    out = own.groupBy("id").agg(F.min("component_id").alias("component_id")).select("id", F.coalesce("component_id", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
@@ -227,8 +232,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     repeated = cut(repeated, "repeated")
     gone = found.where("not kept").select(id_col)
     gone_or_several = gone.unionByName(repeated).distinct()
-    if gone_or_several.count() <= BROADCAST_IDS:  # else the planner's own join
+    if broadcastable(gone_or_several, id_col, BROADCAST_IDS):  # else the planner's own join
         gone_or_several = F.broadcast(gone_or_several)
-    single = docs.join(gone_or_several, id_col, "left_anti")
-    several = docs.join(repeated.join(gone, id_col, "left_anti"), id_col, "left_semi").dropDuplicates([id_col])
-    return single.unionByName(several).select(*docs.columns)
+    single = docs.join(gone_or_several, id_col, "left_anti").select(*docs.columns)
+    several = docs.join(repeated.join(gone, id_col, "left_anti"), id_col, "left_semi")
+    first = F.struct(F.col(text_col).isNull().alias("_0"), F.col(text_col).alias("_1"), F.xxhash64(*docs.columns).alias("_2"))
+    chosen = several.groupBy(F.col(id_col).alias("_id")).agg(F.min_by(F.struct(*docs.columns), first).alias("_row"))
+    return single.unionByName(chosen.select("_row.*"))

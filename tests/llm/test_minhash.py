@@ -126,3 +126,24 @@ def test_components_of_long_chains(spark):
         parent[max(root(a), root(b))] = min(root(a), root(b))
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {x: root(x) for x in parent if any(a != b and x in (a, b) for a, b in edges)}
+
+
+def test_of_repeated_ids_the_smallest_text_stays(spark, docs):
+    texts = ["b text of six words in all", "a text of six words in all", None, "other words that are by themselves here", "other words that are by themselves here"]
+    for order in ([0, 1, 2, 3, 4], [4, 3, 2, 1, 0]):
+        table = docs([texts[i] for i in order], ids=[1 if i < 3 else 2 for i in order]).repartition(3)
+        got = {r["doc_id"]: r["text"] for r in minhash.keep_one(table).collect()}
+        assert got == {1: texts[1], 2: texts[3]}
+
+
+def test_looked_up(spark, monkeypatch):
+    """Frequent keys, missing ones and nulls find what a plain left join finds."""
+    from sieveworks.llm import common
+
+    monkeypatch.setattr(common, "LEAST_HOT", 5)
+    rows = [(i, "hot" if i % 3 == 0 else None if i % 3 == 1 else f"k{i % 20}", "x") for i in range(120)]
+    left = spark.createDataFrame(rows, "n long, key string, _hot string").withColumnRenamed("_hot", "more")
+    right = spark.createDataFrame([("hot", 1, None), ("k2", 2, "b"), ("k5", 3, "c"), ("no", 4, "d")], "key string, v long, w string")
+    want = sorted(left.join(right, "key", "left").select("n", "key", "more", "v", "w").collect(), key=lambda r: r["n"])
+    assert sorted(common.looked_up(left, right, "key").collect(), key=lambda r: r["n"]) == want
+    assert sorted(common.looked_up(left, right, "key", right.select("key").limit(0)).collect(), key=lambda r: r["n"]) == want
