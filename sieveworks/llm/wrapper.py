@@ -533,7 +533,8 @@ def _template(pages: DataFrame, references: DataFrame, marks: bool) -> DataFrame
     totals = seen.groupBy(*key).agg(F.count(F.lit(1)).alias("total")).where(f"total >= {MIN_PAGES}")
     counts = seen.select(*key, F.explode("entries").alias("entry")).groupBy(*key, "entry").agg(F.count(F.lit(1)).alias("n")).withColumn("slot", F.substring_index("entry", ":", 1))
     slots = counts.groupBy(*key, "slot").agg(F.sum("n").alias("pages"))  # a page has one text in a slot
-    const = counts.join(totals, key, "left_semi").join(slots, [*key, "slot"]).where(F.col("n") >= CONSTANT * F.greatest("pages", F.lit(MIN_PAGES)))
+    # what is on fewer pages is never constant; without it a slot of many different texts does not meet in one task
+    const = counts.where(F.col("n") >= CONSTANT * MIN_PAGES).join(totals, key, "left_semi").join(slots, [*key, "slot"]).where(F.col("n") >= CONSTANT * F.greatest("pages", F.lit(MIN_PAGES)))
     const = const.groupBy(*key).agg(F.array_sort(F.collect_list("entry")).alias("_constant"))
     part = F.split("r", ":")
     kinds = seen.select(*key, F.explode("repeats").alias("r")).groupBy(*key, part[0].cast("int").alias("place"), part[2].alias("kinds")).agg(F.count(F.lit(1)).alias("n"), F.sum(part[1].cast("long")).alias("plain"))
