@@ -11,6 +11,7 @@ from sieveworks.operators import history as H
 from sieveworks.operators import profile as R
 from sieveworks.operators import score as P
 from sieveworks.plans.base import query, table
+from sieveworks.plans.contexts import pick
 from sieveworks.sources import corpus
 from sieveworks.sources import rules as L
 
@@ -39,36 +40,43 @@ def framework_detection(spark, sf):
     return best.select("type", "framework", F.round("score", 4).alias("score"))
 
 
-@query("SELECT * FROM (VALUES ('DEP-CFG-008', 'requests'), ('DEP-CFG-007', 'left-pad')) t(rule_id, name)")
+@query("SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'DEP-CFG-008' ELSE 'DEP-CFG-007' END AS rule_id, 's' || s_suppkey AS name FROM supplier WHERE s_suppkey % 3 IN (0, 1)")
 def manifest_checks(spark, sf):
-    """Requirements without a version, and versions that float."""
-    req = corpus.requirements(spark.createDataFrame([("r.txt", "flask==2\nrequests\n# x\n-r more\n")], "path string, content string"))
-    pkg = corpus.package_dependencies(spark.createDataFrame([("package.json", '{"dependencies": {"left-pad": "^1.0", "b": "2.0"}}')], "path string, content string"))
+    """Requirements without a version, and versions that float: manifests made of suppliers."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), "s_suppkey")
+    req = corpus.requirements(s.select("path", F.expr("'# list' || char(10) || 's' || s_suppkey || CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE '==1.0' END || char(10) || '-r more'").alias("content")))
+    pkg = corpus.package_dependencies(s.select("path", F.expr("""'{"dependencies": {"s' || s_suppkey || '": "' || CASE WHEN s_suppkey % 3 = 1 THEN '^' ELSE '' END || '1.0"}}'""").alias("content")))
     return req.where("not pinned").select(F.lit("DEP-CFG-008").alias("rule_id"), "name").unionByName(pkg.where("version like '^%'").select(F.lit("DEP-CFG-007").alias("rule_id"), "name"))
 
 
-_CODE = [("a.py", "import os\nimport json, sys as system\nf = open('x')\nwith open('y') as g:\n    g.read()\ntry:\n    h = open('z')\nfinally:\n    h.close()\nfor r in rows:\n    cur.execute(q)\n    while r:\n        db.fetch(r)\nprint(os.name, system)\n"), ("b/c.py", "def save(x):\n    return x\n\ndef load():\n    pass\n"), ("d.py", "def save(y):\n    cur.execute(q)\n")]
+#: Files in Python made of parts: what they open, loop over, import and define depends on the part's numbers.
+_FILE = "'import os' || chr(10) || 'import json, sys as system' || chr(10) || 'print(os.name, system' || CASE WHEN p_size % 3 = 0 THEN ', json' ELSE '' END || ')' || chr(10) || CASE WHEN p_size % 2 = 0 THEN 'f = open(\"x\")' ELSE 'with open(\"x\") as f:' || chr(10) || '    pass' END || chr(10) || 'for r in rows:' || chr(10) || CASE WHEN p_size % 4 < 2 THEN '    cur.execute(q)' ELSE '    cur.close()' END || chr(10) || 'def save' || (p_partkey % 40) || '(x):' || chr(10) || '    return x' || chr(10)"
+_LOOP = "(5 + p_size % 2)"
 
 
-@query("SELECT 'a.py' AS path, 3 AS line, 'open' AS name")
+def _files(spark, sf):
+    return table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("path"), F.expr(_FILE.replace("chr(10)", "char(10)")).alias("content"))
+
+
+@query("SELECT p_partkey::VARCHAR AS path, 4 AS line, 'open' AS name FROM part WHERE p_size % 2 = 0")
 def unclosed_resources(spark, sf):
-    return A.unclosed(A.python_facts(spark.createDataFrame(_CODE, "path string, content string")), ["open"])
+    return A.unclosed(A.python_facts(_files(spark, sf)), ["open"])
 
 
-@query("SELECT * FROM (VALUES ('a.py', 11, 'cur.execute', 10), ('a.py', 13, 'db.fetch', 12)) t(path, line, name, loop_line)")
+@query(f"SELECT p_partkey::VARCHAR AS path, {_LOOP} + 1 AS line, 'cur.execute' AS name, {_LOOP} AS loop_line FROM part WHERE p_size % 4 < 2")
 def queries_in_loops(spark, sf):
-    return A.calls_in_loops(A.python_facts(spark.createDataFrame(_CODE, "path string, content string")), ["execute", "fetch"])
+    return A.calls_in_loops(A.python_facts(_files(spark, sf)), ["execute", "fetch"])
 
 
-@query("SELECT 'a.py' AS path, 'json' AS name")
+@query("SELECT p_partkey::VARCHAR AS path, 'json' AS name FROM part WHERE p_size % 3 <> 0")
 def unused_imports(spark, sf):
-    files = spark.createDataFrame(_CODE, "path string, content string")
+    files = _files(spark, sf)
     return A.unused_imports(A.python_facts(files), files)
 
 
-@query("SELECT 'save' AS name, 2::BIGINT AS files, 'b/c.py,d.py' AS paths")
+@query("SELECT 'save' || (p_partkey % 40) AS name, count(*) AS files, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey::VARCHAR) AS paths FROM part GROUP BY 1 HAVING count(*) > 1")
 def shared_function_names(spark, sf):
-    names = A.python_facts(spark.createDataFrame(_CODE, "path string, content string")).where("kind = 'function'")
+    names = A.python_facts(_files(spark, sf)).where("kind = 'function'")
     return C.shared_names(names).select("name", "files", F.array_join("paths", ",").alias("paths"))
 
 
@@ -78,17 +86,19 @@ def repeated_object_shapes(spark, sf):
     return C.object_shapes(files, "path", "content")
 
 
-@query("SELECT * FROM (VALUES ('src/domain/user.py', 'domain'), ('src/api/domain/x.py', 'domain'), ('src/web_api/v.py', 'interface'), ('src/infra/db/s.py', 'infrastructure')) t(path, layer)")
+_DIR = pick("p_partkey", ["'src/domain'", "'src/api/domain'", "'src/web_api'", "'src/infra/db'", "'plain'", "'src/domain/views'", "'old_services'"])
+
+
+@query(f"SELECT 'r/' || ({_DIR}) || '/f' || p_partkey || '.py' AS path, CASE p_partkey % 7 WHEN 0 THEN 'domain' WHEN 1 THEN 'domain' WHEN 2 THEN 'interface' WHEN 3 THEN 'infrastructure' WHEN 5 THEN 'interface' ELSE 'application' END AS layer FROM part WHERE p_partkey % 7 <> 4")
 def layer_detection(spark, sf):
-    paths = ["src/domain/user.py", "src/api/domain/x.py", "src/web_api/v.py", "src/infra/db/s.py", "plain.py"]
-    return G.layers_of(spark.createDataFrame([(p,) for p in paths], "path string"))
+    return G.layers_of(table(spark, sf, "part").select(F.expr(f"'r/' || ({_DIR}) || '/f' || p_partkey || '.py'").alias("path")))
 
 
-@query("SELECT engine, accuracy::DOUBLE AS accuracy, n FROM (VALUES ('rule', 0.75, 4::BIGINT)) t(engine, accuracy, n)")
+@query("SELECT event_type AS engine, round(avg(user_id % 10) / 10.0, 6) AS accuracy, count(*) AS n FROM events WHERE event_id % 20 = 3 GROUP BY event_type HAVING avg(user_id % 10) >= 4.5")
 def engine_route(spark, sf):
-    """Engines that did well on similar tasks."""
-    past = spark.createDataFrame([("rule", 0.5), ("rule", 0.5), ("rule", 1.0), ("rule", 1.0), ("ai", 0.25)], "engine string, accuracy double")
-    return H.route(past)
+    """Engines that did well on similar tasks: event types on the tasks of one remainder."""
+    past = table(spark, sf, "events").where("event_id % 20 = 3").select(F.col("event_type").alias("engine"), (F.col("user_id") % 10 / 10.0).alias("accuracy"))
+    return H.route(past, least_accuracy=0.45 - 1e-9).select("engine", F.round("accuracy", 6).alias("accuracy"), "n")
 
 
 @query("SELECT 'semgrep' AS engine, 0 AS place UNION ALL SELECT 'rule', 1 UNION ALL SELECT 'deps', 2")
@@ -103,13 +113,18 @@ def mean_engine_score(spark, sf):
     return P.mean_engine_score(runs).select(F.col("score").cast("long").alias("score"))
 
 
-@query("SELECT * FROM (VALUES ('A-1', 'regex', 'blocker'), ('A-2-semg', 'semgrep', 'high'), ('A-3', 'semantic', 'medium')) t(check_id, rule_type, severity)")
+_RULE = "'R-' || p_partkey || CASE p_size % 5 WHEN 0 THEN '-SEMG' WHEN 1 THEN '-semg' ELSE '' END"
+
+
+@query(f"SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'regex' WHEN p_partkey % 7 IN (1, 2, 3, 4) OR p_size % 5 IN (0, 1) THEN 'semgrep' ELSE 'semantic' END AS rule_type, CASE p_partkey % 6 WHEN 0 THEN 'blocker' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' WHEN 4 THEN 'blocker' ELSE 'odd' END AS severity FROM part")
 def rule_classification(spark, sf):
+    """Rules made of parts: a pattern, a field that names a semantic one, such an id, or nothing."""
     from sieveworks.schema import severity_name
 
-    rows = spark.createDataFrame([("A-1", "x", None, "S1"), ("A-2-semg", None, None, "S2"), ("A-3", "", None, "medium")], "check_id string, pattern string, detection_pattern string, severity string")
-    rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("id", "semgrep_pattern", "semgrep_rule")})
-    return rows.select("check_id", L.rule_type().alias("rule_type"), severity_name(F.col("severity")).alias("severity"))
+    field = lambda name, k: F.when(F.col("p_partkey") % 7 == k, F.col("p_name")).alias(name)
+    severity = F.element_at(F.array(*(F.lit(x) for x in ("S1", "S2", "S3", "S4", "critical", "odd"))), (F.col("p_partkey") % 6 + 1).cast("int"))
+    rows = table(spark, sf, "part").select("p_partkey", F.expr(_RULE).alias("check_id"), F.lit(None).cast("string").alias("id"), F.when(F.col("p_size") % 3 == 0, F.col("p_type")).alias("pattern"), field("detection_pattern", 1), field("semgrep_id", 2), field("semgrep_rule", 3), field("semgrep_rule_id", 4), severity.alias("severity"))
+    return rows.select("p_partkey", L.rule_type().alias("rule_type"), severity_name(F.col("severity")).alias("severity"))
 
 
 @query("SELECT lang, shelf, string_agg(doc_id::VARCHAR, ' ' ORDER BY doc_id::VARCHAR) AS ids FROM (SELECT doc_id, lang, doc_id // 50 AS shelf FROM documents) GROUP BY lang, shelf")

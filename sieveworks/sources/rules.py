@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sieveworks.operators.scan import Rule
 from sieveworks.schema import SEVERITY_LEVEL, lookup, severity_name
 
-_FIELDS = ["check_id", "id", "name", "level", "severity", "category", "description", "suggestion", "pattern", "detection_pattern", "semgrep_pattern", "semgrep_rule", "file_pattern"]
+_FIELDS = ["check_id", "id", "name", "level", "severity", "category", "description", "suggestion", "pattern", "detection_pattern", "semgrep_id", "semgrep_rule", "semgrep_rule_id", "file_pattern"]
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
@@ -33,9 +33,9 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rule_type() -> Column:
-    """regex with a pattern; semgrep with a semantic pattern or such an id; else semantic."""
+    """regex with a pattern; semgrep with a semantic pattern, a name of one or such an id; else semantic."""
     filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    return F.when(filled("pattern"), "regex").when(filled("detection_pattern") | filled("semgrep_pattern") | filled("semgrep_rule") | F.coalesce("check_id", "id").endswith("-semg"), "semgrep").otherwise("semantic")
+    return F.when(filled("pattern"), "regex").when(filled("detection_pattern") | filled("semgrep_id") | filled("semgrep_rule") | filled("semgrep_rule_id") | F.lower(F.coalesce("id", "check_id", F.lit(""))).endswith("-semg"), "semgrep").otherwise("semantic")
 
 
 def runnable(rules: DataFrame) -> list[Rule]:

@@ -29,7 +29,7 @@ def canonical(value):
     return str(value)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_sql(spark, duck, name):
     got = catalog.QUERIES[name](spark, SF)
     want = duck.sql(catalog.ORACLES[name])
@@ -39,3 +39,22 @@ def test_query_equals_sql(spark, duck, name):
     a = sorted(tuple(canonical(r[c]) for c in order) for r in got.collect())
     b = sorted(tuple(canonical(r[i]) for i in at) for r in want.fetchall())
     assert a == b
+
+
+def test_rule_catalog_equals_plain_matching(spark):
+    """The pack over all documents against each pattern by itself, without Spark."""
+    import regex
+
+    from sieveworks import packs
+
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    want = {}
+    for r in packs.rules():
+        if r.words:
+            hits = [int(not any(w.lower() in t.lower() for w in r.words)) for t in texts]
+        else:
+            found = regex.compile(r.pattern, regex.M | (regex.I if r.ignore_case else 0))
+            hits = [sum(m.end() > m.start() for m in found.finditer(t)) for t in texts]
+        if any(hits):
+            want[r.check_id] = (sum(hits), sum(h > 0 for h in hits))
+    assert {r["rule_id"]: (r["hits"], r["files"]) for r in catalog.QUERIES["rule_catalog"](spark, SF).collect()} == want
