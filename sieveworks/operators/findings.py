@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sieveworks.functions.text import bigrams, is_comment, jaccard, to_lines
 from sieveworks.schema import CONFIDENCE_PLACE, ENGINE_PRIORITY, SOURCE_PRIORITY, lookup, severity_rank, tolerance
+from sieveworks.session import ensure_checkpoints
 
 # What the comment of a suppression looks like.
 _LEAD = r"(?i)(?:#|//|/\*)\s*qa[-_]?"
@@ -166,16 +167,12 @@ def similar_pairs(rows: DataFrame, block: list[str], key: str, text: str, least:
     return scored.where(F.col("similarity") >= least - 1e-9).select("a", "b", "similarity")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 32) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (least node reachable), by least labels that spread and jump until they rest; lineage is cut each round."""
-    spark = edges.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sieveworks-"))
+    ensure_checkpoints(edges.sparkSession)
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct().checkpoint()
     labels = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")).withColumnRenamed("u", "node").checkpoint()
-    for _ in range(rounds):
+    while True:
         spread = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("c").alias("m"))
         next_ = labels.join(spread, "node").select("node", F.least("c", "m").alias("c"), F.col("c").alias("old"))
         jump = labels.select(F.col("node").alias("c"), F.col("c").alias("j"))

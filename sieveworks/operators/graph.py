@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveworks.session import ensure_checkpoints
+
 # Words in a directory's name that tell its layer, outermost last.
 LAYER_WORDS = {"domain": ["domain", "entities", "entity", "models", "core"], "application": ["application", "usecases", "use_cases", "services"], "infrastructure": ["infrastructure", "infra", "adapters", "repositories", "persistence", "db"], "interface": ["interface", "interfaces", "api", "controllers", "routes", "views", "handlers", "web"]}
 LAYER_RANK = {"domain": 0, "application": 1, "infrastructure": 2, "interface": 3}
@@ -44,14 +46,14 @@ def violations(edges: DataFrame, layer: DataFrame, ranks: dict[str, int] | None
     return edges.join(a, "src").join(b, "dst").where("ra < rb").select("src", "dst", "src_layer", "dst_layer")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, rounds: int = 64) -> DataFrame:
-    """start, node, hops: all nodes that can be reached from the starts (node), with the fewest steps."""
-    seen = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops")).distinct()
-    front = seen
-    for k in range(1, rounds + 1):
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, node, hops: all nodes that can be reached from the starts (node), with the fewest steps; lineage is cut each step."""
+    ensure_checkpoints(edges.sparkSession)
+    seen = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops")).distinct().checkpoint()
+    front, hops = seen, 0
+    while not front.isEmpty():
+        hops += 1
         step = front.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("start", F.col("dst").alias("node")).distinct()
-        front = step.join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(k)).checkpoint() if seen.sparkSession.sparkContext.getCheckpointDir() else step.join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(k)).cache()
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
+        front = step.join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(hops)).checkpoint()
+        seen = seen.unionByName(front).checkpoint()
     return seen

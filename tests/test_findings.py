@@ -114,3 +114,13 @@ def test_whole_texts_are_compared(spark, tmp_path):
     assert want == {(1, 2), (3, 4)}
     assert {(r["a"], r["b"]) for r in catalog.QUERIES["text_ngram_pairs"](spark, str(tmp_path)).collect()} == want
     assert {(r["node"], r["component"]) for r in catalog.QUERIES["text_components"](spark, str(tmp_path)).collect()} == {(1, 1), (2, 1), (3, 3), (4, 3)}
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    from sieveworks.operators.findings import components
+    from sieveworks.operators.graph import reachable
+
+    chain = spark.range(70).selectExpr("id as src", "id + 1 as dst")
+    starts = spark.createDataFrame([(0,)], "node long")
+    assert max(r["hops"] for r in reachable(chain, starts).collect()) == 70
+    assert {r["component"] for r in components(chain, "src", "dst").collect()} == {0}
