@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sieveworks.functions.text import to_lines
 from sieveworks.operators import findings as N
 from sieveworks.operators import score as P
 from sieveworks.plans.base import query, table
@@ -76,41 +75,16 @@ def bucket_dedup(spark, sf):
     return N.bucket_groups(findings_of(spark, sf).withColumn("file", F.col("file").cast("string"))).groupBy("bucket_key").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"))
 
 
-def _messages(spark, sf):
-    lines = to_lines(table(spark, sf, "documents").where("lang = 'en'"), "doc_id", "text", "source").where("line_no = 1")
-    return lines.select("doc_id", "source", F.substring("line", 1, 40).alias("message"))
-
-
-_MSG = "(SELECT doc_id, source, left(string_split(text, chr(10))[1], 40) AS message FROM documents WHERE lang = 'en')"
-_GRAMS = f"(SELECT doc_id, source, CASE WHEN length(message) < 2 THEN [message] ELSE list_distinct(list_transform(range(1, length(message)), lambda i: substr(message, i, 2))) END AS g FROM {_MSG})"
-_SIMILAR = f"(SELECT p.doc_id AS a, q.doc_id AS b, len(list_intersect(p.g, q.g))::DOUBLE / len(list_distinct(list_concat(p.g, q.g))) AS similarity FROM {_GRAMS} p JOIN {_GRAMS} q ON p.source = q.source AND p.doc_id < q.doc_id)"
-
-
-@query(f"SELECT a, b, round(similarity, 6) AS similarity FROM {_SIMILAR} WHERE similarity >= 0.8 - 1e-9")
-def jaccard_ngram_pairs(spark, sf):
-    """Pairs of English documents of one source whose first lines' first 40 characters, as in its SQL, are alike by pairs
-    of characters; text_ngram_pairs compares whole texts."""
-    return N.similar_pairs(_messages(spark, sf), ["source"], "doc_id", "message").select("a", "b", F.round("similarity", 6).alias("similarity"))
-
-
-@query(
-    f"""WITH RECURSIVE e AS (SELECT a, b FROM {_SIMILAR} WHERE similarity >= 0.8 - 1e-9), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS node, least(a, min(b)) AS component FROM r GROUP BY a"""
-)
-def similarity_components(spark, sf):
-    return N.components(N.similar_pairs(_messages(spark, sf), ["source"], "doc_id", "message"))
-
-
 def _whole(spark, sf):
     return N.similar_pairs(table(spark, sf, "documents").where("text is not null"), ["source"], "doc_id", "text")
 
 
-_TEXT_GRAMS = "(SELECT doc_id, source, CASE WHEN length(text) < 2 THEN [text] ELSE list_distinct(list_transform(range(1, length(text)), lambda i: substr(text, i, 2))) END AS g FROM documents WHERE text IS NOT NULL)"
+_TEXT_GRAMS = "(SELECT doc_id, source, CASE WHEN length(text) < 2 THEN [text] ELSE list_distinct(list_transform(list_zip(string_split(text, '')[:-2], string_split(text, '')[2:]), lambda p: p[1] || p[2])) END AS g FROM documents WHERE text IS NOT NULL)"
 _ALIKE = f"(SELECT a, b, common / (na + nb - common)::DOUBLE AS similarity FROM (SELECT p.doc_id AS a, q.doc_id AS b, len(p.g) AS na, len(q.g) AS nb, len(list_intersect(p.g, q.g)) AS common FROM {_TEXT_GRAMS} p JOIN {_TEXT_GRAMS} q ON p.source = q.source AND p.doc_id < q.doc_id))"
 
 
 @query(f"SELECT a, b, round(similarity, 6) AS similarity FROM {_ALIKE} WHERE similarity >= 0.8 - 1e-9")
-def text_ngram_pairs(spark, sf):
+def jaccard_ngram_pairs(spark, sf):
     """Pairs of documents of one source whose whole texts, of all languages, are alike by pairs of characters."""
     return _whole(spark, sf).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
@@ -119,7 +93,7 @@ def text_ngram_pairs(spark, sf):
     f"""WITH RECURSIVE e AS MATERIALIZED (SELECT a, b FROM {_ALIKE} WHERE similarity >= 0.8 - 1e-9), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS node, least(a, min(b)) AS component FROM r GROUP BY a"""
 )
-def text_components(spark, sf):
+def similarity_components(spark, sf):
     return N.components(_whole(spark, sf))
 
 
@@ -216,7 +190,7 @@ def findings_per_file_cap(spark, sf):
     return findings_of(spark, sf).withColumn("r", F.row_number().over(w)).where("r <= 3").select("file", F.col("ord").alias("event_id"))
 
 
-@query("SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity FROM (SELECT item_id, list_distinct(list_transform(range(1, length(text)), lambda i: substr(text, i, 2))) AS g FROM benchmark) a JOIN (SELECT item_id, list_distinct(list_transform(range(1, length(text)), lambda i: substr(text, i, 2))) AS g FROM benchmark) b ON a.item_id < b.item_id WHERE len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))) >= 0.4 - 1e-9")
+@query("SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity FROM (SELECT item_id, list_distinct(list_transform(list_zip(string_split(text, '')[:-2], string_split(text, '')[2:]), lambda p: p[1] || p[2])) AS g FROM benchmark) a JOIN (SELECT item_id, list_distinct(list_transform(list_zip(string_split(text, '')[:-2], string_split(text, '')[2:]), lambda p: p[1] || p[2])) AS g FROM benchmark) b ON a.item_id < b.item_id WHERE len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))) >= 0.4 - 1e-9")
 def benchmark_similarity(spark, sf):
     """Benchmark items that are alike by pairs of characters."""
     return N.similar_pairs(table(spark, sf, "benchmark"), [], "item_id", "text", 0.4).select("a", "b", F.round("similarity", 6).alias("similarity"))

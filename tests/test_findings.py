@@ -112,8 +112,8 @@ def test_whole_texts_are_compared(spark, tmp_path):
     grams = [None if t is None else {t[i : i + 2] for i in range(len(t) - 1)} or {t} for t in texts]
     want = {(i, j) for i, p in enumerate(grams) for j, q in enumerate(grams) if i < j and p and q and len(p & q) >= 0.8 * len(p | q)}
     assert want == {(1, 2), (3, 4)}
-    assert {(r["a"], r["b"]) for r in catalog.QUERIES["text_ngram_pairs"](spark, str(tmp_path)).collect()} == want
-    assert {(r["node"], r["component"]) for r in catalog.QUERIES["text_components"](spark, str(tmp_path)).collect()} == {(1, 1), (2, 1), (3, 3), (4, 3)}
+    assert {(r["a"], r["b"]) for r in catalog.QUERIES["jaccard_ngram_pairs"](spark, str(tmp_path)).collect()} == want
+    assert {(r["node"], r["component"]) for r in catalog.QUERIES["similarity_components"](spark, str(tmp_path)).collect()} == {(1, 1), (2, 1), (3, 3), (4, 3)}
 
 
 def test_long_chains_are_followed_to_their_end(spark):
