@@ -147,7 +147,7 @@ class Tile:
                 yield a[ok], b[ok], s[ok]
 
     def forest(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Links that connect what all links of the tile connect, fewer than its rows."""
+        """Each row of the tile that links reach, with the one that stands for all that they connect; no similarities."""
         root = np.arange(len(self.n))
 
         def top(x):
@@ -161,17 +161,13 @@ class Tile:
             a, b = a[new], b[new]
             s = self.similarity(a, b)
             ok = s >= self.least - 1e-9
-            a, b, s = a[ok], b[ok], s[ok]
-            keep = []
-            for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            for x, y in zip(a[ok].tolist(), b[ok].tolist(), strict=True):
                 x, y = top(x), top(y)
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    keep.append(i)
-            if keep:
-                yield a[keep], b[keep], s[keep]
-                while not np.array_equal(up := root[root], root):
-                    root[:] = up
+                root[max(x, y)] = min(x, y)
+            while not np.array_equal(up := root[root], root):
+                root[:] = up
+        tied = np.flatnonzero(root != np.arange(len(root)))
+        yield tied, root[tied], np.zeros(len(tied))
 
 
 def _tiles(rows: DataFrame, least: float, forest: bool) -> DataFrame:
@@ -207,6 +203,6 @@ def similar_pairs(rows: DataFrame, block: list[str], key: str, text: str, least:
 
 
 def similar_links(rows: DataFrame, block: list[str], key: str, text: str, least: float = 0.8) -> DataFrame:
-    """a, b of links that connect the same rows as those of similar_pairs do, in proportion to the rows: of each tile a forest."""
+    """a, b that connect the same rows as the pairs of similar_pairs do, in proportion to the rows: of each tile stars."""
     found = _tiles(encoded(rows, block, key, text), least, forest=True)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")

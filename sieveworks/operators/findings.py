@@ -154,7 +154,11 @@ def bucket_groups(findings: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (least node reachable), by least labels that spread and jump until they rest; lineage is cut each round."""
     ensure_checkpoints(edges.sparkSession)
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct().checkpoint()
+    # the edges may be dear: they are computed once for both directions, and kept while the checkpoint is written
+    ways = F.explode(F.array(F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(b).alias("u"), F.col(a).alias("v"))))
+    kept = edges.select(ways.alias("e")).select("e.*").distinct().persist()
+    both = kept.checkpoint()
+    kept.unpersist()
     labels = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")).withColumnRenamed("u", "node").checkpoint()
     while True:
         spread = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("c").alias("m"))

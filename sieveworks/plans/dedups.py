@@ -75,8 +75,8 @@ def bucket_dedup(spark, sf):
     return N.bucket_groups(findings_of(spark, sf).withColumn("file", F.col("file").cast("string"))).groupBy("bucket_key").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"))
 
 
-def _whole(spark, sf):
-    return N.similar_pairs(table(spark, sf, "documents").where("text is not null"), ["source"], "doc_id", "text")
+def _whole(spark, sf, alike=N.similar_pairs):
+    return alike(table(spark, sf, "documents").where("text is not null"), ["source"], "doc_id", "text")
 
 
 _TEXT_GRAMS = "(SELECT doc_id, source, CASE WHEN length(text) < 2 THEN [text] ELSE list_distinct(list_transform(list_zip(string_split(text, '')[:-2], string_split(text, '')[2:]), lambda p: p[1] || p[2])) END AS g FROM documents WHERE text IS NOT NULL)"
@@ -94,7 +94,7 @@ def jaccard_ngram_pairs(spark, sf):
 r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a) SELECT a AS node, least(a, min(b)) AS component FROM r GROUP BY a"""
 )
 def similarity_components(spark, sf):
-    return N.components(_whole(spark, sf))
+    return N.components(_whole(spark, sf, N.similar_links))
 
 
 _GROUPS = f"(SELECT *, line // 30 AS slot FROM {_F})"
