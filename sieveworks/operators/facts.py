@@ -12,7 +12,7 @@ import bisect
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,15 +98,39 @@ def python_facts_of(text: str) -> list[tuple]:
     return [(k, a, b, c, d, e, complexity.get(n, 1) if k == "function" else n, ls) for k, a, b, c, d, e, n, ls in out]
 
 
-def python_facts(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+#: Bytes of text (and rows, each as so many bytes) that one task parses, the most tasks, and facts in one batch.
+TASK_BYTES, ROW_BYTES, MOST_TASKS, BATCH_FACTS = 1 << 20, 1 << 8, 4000, 1 << 16
+
+
+def spread(files: DataFrame, content: str) -> DataFrame:
+    """files dealt out by their own values to tasks of about TASK_BYTES, as small tables of many files come in one."""
+    size = files.agg(F.sum(F.coalesce(F.octet_length(F.col(content)), F.lit(0)) + F.lit(ROW_BYTES))).first()[0] or 0
+    return files.repartition(int(min(MOST_TASKS, size // TASK_BYTES + 1)), *files.columns)
+
+
+def python_facts(files: DataFrame, path: str = "path", content: str = "content", kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Facts of all files, of the kinds given (all, if none are); equal texts of a batch are parsed once."""
+    types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string())]
+
     def run(batches):
-        for b in batches:
-            rows = [(p, *f) for p, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for f in python_facts_of(text or "")]
+        def packed(rows):
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=FACTS.names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=FACTS.names)
+
+        for b in batches:
+            known, rows = {}, []
+            for p, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                text = text or ""
+                if text not in known:
+                    known[text] = [f for f in python_facts_of(text) if kinds is None or f[0] in kinds]
+                rows += [(p, *f) for f in known[text]]
+                if len(rows) >= BATCH_FACTS:
+                    yield packed(rows)
+                    rows = []
+            yield packed(rows)
 
-    return files.select(F.col(path).cast("string"), F.col(content).cast("string")).mapInArrow(run, FACTS)
+    own = files.select(F.col(path).cast("string").alias("path"), F.col(content).cast("string").alias("content"))
+    return spread(own, "content").mapInArrow(run, FACTS)
 
 
 # Calls that are dangerous, their rule and severity; an undotted one also counts as an attribute.
@@ -162,18 +186,23 @@ def calls_in_loops(facts: DataFrame, names: list[str]) -> DataFrame:
 
 
 def unclosed(facts: DataFrame, openers: list[str]) -> DataFrame:
-    """Calls of openers that stand in no with statement and in no try with finally: a join of points and ranges in each file."""
-    calls = facts.where((F.col("kind") == "call") & F.col("name").isin(openers)).select("path", F.col("line").alias("at"), F.col("name").alias("opener"))
-    ranges = facts.where((F.col("kind") == "with") | (F.col("kind") == "try") & (F.col("value") == "finally")).select("path", F.col("line").alias("lo"), F.col("end_line").alias("hi"))
-    safe = calls.join(ranges, "path").where("at between lo and hi").select("path", "at", "opener")
-    return calls.join(safe.distinct(), ["path", "at", "opener"], "left_anti").select("path", F.col("at").alias("line"), F.col("opener").alias("name"))
+    """Calls of openers that stand in no with statement and in no try with finally; the facts are read once."""
+    opens = (F.col("kind") == "call") & F.col("name").isin(openers)
+    holds = (F.col("kind") == "with") | (F.col("kind") == "try") & (F.col("value") == "finally")
+    # a point lies in a range if, of the ranges that begin no later, the one that ends last does not end before it
+    sofar = Window.partitionBy("path").orderBy("line").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = facts.where(opens | holds).withColumn("_to", F.max(F.when(holds, F.col("end_line"))).over(sofar))
+    safe = F.col("path").isNotNull() & F.coalesce(F.col("_to") >= F.col("line"), F.lit(False))
+    return rows.where(opens & ~safe).select("path", "line", "name")
 
 
 def unused_imports(facts: DataFrame, files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """path, name of imported names that occur only once as a word of the file."""
     names = facts.where("kind = 'import' and value <> '*'").select("path", F.substring_index("value", ".", 1).alias("name")).distinct()
-    words = files.select(F.col(path).cast("string").alias("path"), F.explode(F.regexp_extract_all(F.col(content), F.lit(r"[A-Za-z_]\w*"), F.lit(0))).alias("name")).groupBy("path", "name").agg(F.count(F.lit(1)).alias("n"))
-    return names.join(words, ["path", "name"]).where("n = 1").select("path", "name")
+    each = files.select(F.col(path).cast("string").alias("path"), F.col(content).alias("_text")).join(names.groupBy("path").agg(F.collect_set("name").alias("_names")), "path")
+    # only words that the file imports leave their file, each text once
+    words = F.filter(F.regexp_extract_all(F.col("_text"), F.lit(r"[A-Za-z_]\w*"), F.lit(0)), lambda w: F.array_contains(F.col("_names"), w))
+    return each.select("path", F.explode(words).alias("name")).groupBy("path", "name").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("path", "name")
 
 
 _JS = T.StructType([T.StructField("path", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("code", T.StringType()), T.StructField("depth", T.IntegerType()), T.StructField("comment", T.StringType()), T.StructField("hook", T.StringType())])

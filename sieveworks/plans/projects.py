@@ -60,7 +60,7 @@ def _files(spark, sf):
 
 @query("SELECT p_partkey::VARCHAR AS path, 4 AS line, 'open' AS name FROM part WHERE p_size % 2 = 0")
 def unclosed_resources(spark, sf):
-    return A.unclosed(A.python_facts(_files(spark, sf)), ["open"])
+    return A.unclosed(A.python_facts(_files(spark, sf), kinds=("call", "with", "try")), ["open"])
 
 
 @query(f"SELECT p_partkey::VARCHAR AS path, {_LOOP} + 1 AS line, 'cur.execute' AS name, {_LOOP} AS loop_line FROM part WHERE p_size % 4 < 2")
