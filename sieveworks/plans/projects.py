@@ -71,7 +71,7 @@ def queries_in_loops(spark, sf):
 @query("SELECT p_partkey::VARCHAR AS path, 'json' AS name FROM part WHERE p_size % 3 <> 0")
 def unused_imports(spark, sf):
     files = _files(spark, sf)
-    return A.unused_imports(A.python_facts(files), files)
+    return A.unused_imports(A.python_facts(files, kinds=("import",)), files)
 
 
 @query("SELECT 'save' || (p_partkey % 40) AS name, count(*) AS files, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey::VARCHAR) AS paths FROM part GROUP BY 1 HAVING count(*) > 1")
