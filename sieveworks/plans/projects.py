@@ -65,7 +65,7 @@ def unclosed_resources(spark, sf):
 
 @query(f"SELECT p_partkey::VARCHAR AS path, {_LOOP} + 1 AS line, 'cur.execute' AS name, {_LOOP} AS loop_line FROM part WHERE p_size % 4 < 2")
 def queries_in_loops(spark, sf):
-    return A.calls_in_loops(A.python_facts(_files(spark, sf)), ["execute", "fetch"])
+    return A.calls_in_loops(A.python_facts(_files(spark, sf), kinds=("call",)), ["execute", "fetch"])
 
 
 @query("SELECT p_partkey::VARCHAR AS path, 'json' AS name FROM part WHERE p_size % 3 <> 0")
