@@ -59,7 +59,7 @@ def object_shapes(files: DataFrame, path: str, content: str) -> DataFrame:
 
 def shared_names(names: DataFrame, name: str = "name", path: str = "path") -> DataFrame:
     """name, files, paths: names that several files define."""
-    return names.groupBy(name).agg(F.countDistinct(path).alias("files"), F.array_sort(F.collect_set(path)).alias("paths")).where("files > 1")
+    return names.select(name, path).distinct().groupBy(name).agg(F.count(path).alias("files"), F.array_sort(F.collect_list(path)).alias("paths")).where("files > 1")
 
 
 def orphans(routes: DataFrame, calls: DataFrame) -> DataFrame:

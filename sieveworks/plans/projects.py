@@ -76,7 +76,7 @@ def unused_imports(spark, sf):
 
 @query("SELECT 'save' || (p_partkey % 40) AS name, count(*) AS files, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey::VARCHAR) AS paths FROM part GROUP BY 1 HAVING count(*) > 1")
 def shared_function_names(spark, sf):
-    names = A.python_facts(_files(spark, sf)).where("kind = 'function'")
+    names = A.python_facts(_files(spark, sf), kinds=("function",))
     return C.shared_names(names).select("name", "files", F.array_join("paths", ",").alias("paths"))
 
 
