@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +59,52 @@ def matches_empty(pattern: str) -> bool:
         return False
 
 
+def _best(a, b):
+    """Of two sets of words of which one has to occur (None: nothing is known), that with the longer shortest word."""
+    return max((x for x in (a, b) if x), key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+
+def _needed(items, at_most: int = 16):
+    """(words of which one occurs in whatever a sequence of parsed items matches or None, the one text it matches or None)."""
+    best, run, plain = None, "", True
+    for op, arg in items:
+        name, found, whole = str(op), None, None
+        if name == "LITERAL":
+            whole = chr(arg).lower() if arg < 128 else None
+        elif name == "SUBPATTERN":
+            # flags of a group may change its letters' case, which makes no difference to lower-case words
+            found, whole = _needed(arg[3], at_most)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
+            found, whole = _needed(arg[2], at_most)
+            whole = whole * arg[0] if whole and arg[0] == arg[1] and len(whole) * arg[0] <= 64 else None
+        elif name == "BRANCH":
+            each = [(w and {w}) or n for n, w in (_needed(x, at_most) for x in arg[1])]
+            found = set().union(*each) if all(each) and sum(map(len, each)) <= at_most else None
+        if name in ("ASSERT", "ASSERT_NOT", "AT"):  # of no width
+            continue
+        if whole:
+            run += whole
+            continue
+        plain = False
+        best, run = _best(_best(best, found), run and {run}), ""
+    return _best(best, run and {run}), run if plain else None
+
+
+def needed_words(pattern: str) -> set[str] | None:
+    """Words in lower case of which a text has at least one wherever the pattern matches it; None if none are known.
+
+    Patterns that the JVM may read otherwise (classes in classes, quotes, comments) are not taken apart."""
+    if re.search(r"\[[^\]]*\[|&&|\\Q|\(\?[a-z]*x", pattern):
+        return None
+    try:
+        import re._parser as parser
+
+        words = _needed(parser.parse(re.sub(r"\(\?<(?=[A-Za-z])", "(?P<", pattern), re.M))[0]
+    except (ImportError, re.error, RecursionError, OverflowError):
+        return None
+    return words if words and min(map(len, words)) > 1 else None
+
+
 def _matches(content: Column, pattern: str) -> Column:
     """array of struct(position from 1 on, text) of all matches, none of which may be empty."""
     found = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
@@ -69,6 +117,11 @@ def _matches(content: Column, pattern: str) -> Column:
     return F.when(F.size(found) > 0, ends["out"])
 
 
+def _folded(content: Column) -> Column:
+    """A text in lower case, with the letters that a pattern takes for ASCII letters when it ignores case."""
+    return F.lower(F.translate(content, "\u017f\u212a\u0130\u0131", "skii"))
+
+
 def _numbered(rule: int):
     return lambda m: F.struct(F.lit(rule).alias("rule"), m["position"].alias("position"), m["text"].alias("text"))
 
@@ -96,18 +149,22 @@ def evaluate(files: DataFrame, rules: list[Rule], path: str = "path", basename:
         if r.words:
             gone = F.lit(True)
             for w in r.words:
-                gone = gone & ~F.lower("content").contains(w.lower())
+                gone = gone & ~F.col("_lower").contains(w.lower())
             native.append(F.when(applies(r) & gone, F.array(F.struct(F.lit(i).alias("rule"), F.lit(0).alias("position"), F.lit("").alias("text")))))
         elif matches_empty(r.pattern) or not java_valid(spark, dialect(r.pattern, r.ignore_case)):
             guarded.append((i, r))
         else:
             hit = _matches(F.col("content"), dialect(r.pattern, r.ignore_case))
-            native.append(F.when(applies(r), F.transform(hit, _numbered(i))))
+            may = applies(r)
+            if words := needed_words(r.pattern):  # a search for words is far cheaper than a pattern
+                may = may & reduce(or_, (F.contains("_folded", F.lit(w)) for w in sorted(words)))
+            native.append(F.when(may, F.transform(hit, _numbered(i))))
     kind = "array<struct<rule:int,position:int,text:string>>"
     out = None
     if native:
         every = F.flatten(F.array(*(F.coalesce(c, F.array().cast(kind)) for c in native)))
-        out = base.withColumn("hits", every).where(F.size("hits") > 0).select("path", "content", F.inline("hits"))
+        # not as a column with a filter: the filter would move below it and match every pattern a second time
+        out = base.withColumns({"_folded": _folded(F.col("content")), "_lower": F.lower("content")}).select("path", "content", F.inline(every))
         out = _line_column(out).select("path", "rule", "line", "column", F.substring("text", 1, SNIPPET).alias("snippet"))
     if guarded:
         for i, r in guarded:
