@@ -12,9 +12,19 @@ def content_hash(content: Column, size: Column, whole: int = 1 << 20, edge: int
     return F.substring(F.md5(F.when(size <= whole, content).otherwise(ends)), 1, 12)
 
 
+#: Rows that one task of a join by keys sorts.
+TASK_ROWS = 1 << 17
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows by key in as many partitions as their number asks for, which joins by the key keep: a task's memory does not
+    grow with the table."""
+    return rows.repartition(rows.count() // TASK_ROWS + 1, key)
+
+
 def diff(current: DataFrame, state: DataFrame, key: str, compare: list[str]) -> DataFrame:
     """key, status (added, changed, deleted, unchanged) of the keys of either side; compare: columns that make a change."""
-    a = current.select(key, F.struct(*compare).alias("_new"), F.lit(True).alias("_a"))
+    a = dealt(current, key).select(key, F.struct(*compare).alias("_new"), F.lit(True).alias("_a"))
     b = state.select(key, F.struct(*compare).alias("_old"), F.lit(True).alias("_b"))
     status = F.when(F.col("_b").isNull(), "added").when(F.col("_a").isNull(), "deleted").when(~F.col("_new").eqNullSafe(F.col("_old")), "changed").otherwise("unchanged")
     return a.join(b, key, "full_outer").select(key, status.alias("status"))
