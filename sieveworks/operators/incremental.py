@@ -16,10 +16,10 @@ def content_hash(content: Column, size: Column, whole: int = 1 << 20, edge: int
 TASK_ROWS = 1 << 17
 
 
-def dealt(rows: DataFrame, key: str) -> DataFrame:
-    """rows by key in as many partitions as their number asks for, which joins by the key keep: a task's memory does not
-    grow with the table."""
-    return rows.repartition(rows.count() // TASK_ROWS + 1, key)
+def dealt(rows: DataFrame, key: str, many: DataFrame | None = None) -> DataFrame:
+    """rows by key in as many partitions as their number, or that of many, asks for, which joins by the key keep: a task's
+    memory does not grow with the table. Of a semi join deal the right side; Spark moves the join below the left one's."""
+    return rows.repartition((rows if many is None else many).count() // TASK_ROWS + 1, key)
 
 
 def diff(current: DataFrame, state: DataFrame, key: str, compare: list[str]) -> DataFrame:

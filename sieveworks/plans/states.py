@@ -41,7 +41,8 @@ def incremental_two_step(spark, sf):
 @query(f"SELECT path, l_linenumber::BIGINT AS line, origin FROM (SELECT path, status, l_linenumber, CASE WHEN status IN ('added', 'changed') THEN 'fresh' ELSE 'cached' END AS origin FROM {_DIFF} JOIN lineitem ON l_orderkey = path WHERE status <> 'deleted')")
 def cache_merge(spark, sf):
     status = I.diff(*_sides(spark, sf), "path", ["size", "hash"])
-    rows = I.dealt(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").cast("long").alias("line")), "path")
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").cast("long").alias("line"))
+    status = I.dealt(status, "path", rows)
     fresh = rows.join(status.where("status in ('added', 'changed')"), "path", "left_semi").withColumn("origin", F.lit("fresh"))
     return I.merge_cached(fresh, rows.withColumn("origin", F.lit("cached")), status, "path")
 
